@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates
+from . import abuse, contamination, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_duplicates.p1_found,
     "p1_groups": near_duplicates.p1_groups,
+    "p8_found": contamination.p8_found,
+    "p8_items": contamination.p8_items,
+    "p10_found": abuse.p10_found,
+    "p10_sources": abuse.p10_sources,
 }
 ORACLE_SQL: dict[str, str] = {}
