@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import abuse, contamination, near_duplicates
+from . import abuse, contamination, handwritten, near_duplicates, neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_duplicates.p1_found,
     "p1_groups": near_duplicates.p1_groups,
+    "p3_found": neighbours.p3_found,
+    "p3_neighbours": neighbours.p3_neighbours,
+    "p4_found": handwritten.p4_found,
+    "p4_projects": handwritten.p4_projects,
     "p8_found": contamination.p8_found,
     "p8_items": contamination.p8_items,
     "p10_found": abuse.p10_found,
