@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import hierarchy, orphans
+from ..operators import graph, hierarchy, incremental, orphans, report, search, stats, topology
 
-_MODULES = (hierarchy, orphans)
+_MODULES = (stats, graph, search, topology, incremental, report, hierarchy, orphans)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
