@@ -174,10 +174,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     selection = cut(chosen.join(names, "number").select("doc_id", "source", "uses", "tokens"))
     got = selection.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"))
     asked = spark.createDataFrame([(r.source, float(r.target_share), float(w)) for r, w in zip(rows, want, strict=True)], "source string, target_share double, wanted_share double")
-    all_tokens = got.agg(F.sum("tokens").alias("all_tokens"))
+    reached = selection.agg(F.sum(F.col("uses") * F.col("tokens"))).first()[0] or 1
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    shares = asked.join(got, "source", "left").join(F.broadcast(all_tokens)).select(
-        "source", "target_share", F.round("wanted_share", 6).alias("wanted_share"), zero("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("share"), zero("documents")
+    shares = asked.join(got, "source", "left").select(
+        "source", "target_share", F.round("wanted_share", 6).alias("wanted_share"), zero("tokens"), F.round(F.coalesce(F.col("tokens") / F.lit(reached), F.lit(0.0)), 6).alias("share"), zero("documents")
     )
     return selection, shares
 
