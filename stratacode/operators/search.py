@@ -39,6 +39,14 @@ def matches(query: Query, fields: dict[str, float]) -> Column:
     return reduce(lambda a, p: a & ~_holds(p, fields), query.negative, some)
 
 
+def may_match(query: Query, fields: dict[str, float]) -> Column:
+    """A cheap necessary condition, tried before any text is analysed: every word of some group stands in some field's text."""
+    if not query.groups:
+        return F.lit(True)
+    whole = F.lower(F.concat_ws(" ", *fields))
+    return reduce(Column.__or__, [reduce(Column.__and__, [whole.contains(w) for p in g for w in p]) for g in query.groups])
+
+
 def rank(query: Query, fields: dict[str, float]) -> Column:
     """The sum over terms of x / (x + 1), x the weighted count of the term."""
 
@@ -81,7 +89,7 @@ def search_functions(functions: DataFrame, files: DataFrame, projects: DataFrame
     fn = functions if language is None else functions.where(F.col("language") == language)
     fl = files.select(F.col("id").alias("file_id"), "file_path", "project_id")
     fl = fl if project_id is None else fl.where(F.col("project_id") == project_id)
-    docs = _documents(fn, FUNCTION_FIELDS).where(matches(query, FUNCTION_FIELDS)).withColumn("score", rank(query, FUNCTION_FIELDS))
+    docs = _documents(fn.where(may_match(query, FUNCTION_FIELDS)), FUNCTION_FIELDS).where(matches(query, FUNCTION_FIELDS)).withColumn("score", rank(query, FUNCTION_FIELDS))
     pr = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
     got = docs.select("id", "file_id", "name", "signature", "language", "start_line", "end_line", "ai_purpose", "score").join(fl, "file_id").join(pr, "project_id")
     return _page(got.withColumn("score", F.round("score", 4)), ["score desc", "id"], limit, offset)
@@ -110,7 +118,7 @@ def search_classes(classes: DataFrame, files: DataFrame, projects: DataFrame, te
         docs = cl.withColumn("score", F.lit(1.0))
     else:
         query = parse_query(text)
-        docs = _documents(cl, CLASS_FIELDS).where(matches(query, CLASS_FIELDS)).withColumn("score", F.round(rank(query, CLASS_FIELDS), 4))
+        docs = _documents(cl.where(may_match(query, CLASS_FIELDS)), CLASS_FIELDS).where(matches(query, CLASS_FIELDS)).withColumn("score", F.round(rank(query, CLASS_FIELDS), 4))
     got = docs.select("id", "file_id", "name", "start_line", "end_line", "score").join(fl, "file_id").join(pr, "project_id")
     return _page(got, ["name", "id"] if everything else ["score desc", "id"], limit, offset)
 

@@ -2,45 +2,41 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 
-def blank(source: str, quotes: str = "\"'`", line: str = "//", block: tuple[str, str] = ("/*", "*/"), lifetimes: bool = False) -> tuple[str, str, list[tuple[int, int]]]:
-    """(without comments, without comments and text, spans of the comments); lengths and line ends stay.
 
-    ``lifetimes``: a quote before a name that no quote ends (Rust) is no text.
-    """
-    no_comment, no_text, spans = list(source), list(source), []
-    i, n = 0, len(source)
+_BODY = {q: rf"{q}(?:[^{q}\\\n]|\\.|\\\n)*{q}?" for q in "\"'"} | {"`": r"`(?:[^`\\]|\\[\s\S])*`?"}
+_RUST_CHAR = r"'(?:\\[^\n]+?|[^'\\\n])'"
+_NOT_END = re.compile(r"[^\n]")
+
+
+@lru_cache(maxsize=16)
+def _scanner(quotes: str, lifetimes: bool) -> re.Pattern:
+    texts = [_RUST_CHAR if q == "'" and lifetimes else _BODY[q] for q in quotes]
+    return re.compile(r"(?P<note>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<text>" + "|".join(texts) + ")")
 
-    def wipe(target: list[str], a: int, b: int) -> None:
-        for k in range(a, b):
-            if target[k] != "\n":
-                target[k] = " "
 
-    while i < n:
-        if source.startswith(line, i):
-            j = source.find("\n", i)
-            j = n if j < 0 else j
-        elif source.startswith(block[0], i):
-            j = source.find(block[1], i + 2)
-            j = n if j < 0 else j + len(block[1])
-        elif source[i] in quotes:
-            q, j = source[i], i + 1
-            if lifetimes and q == "'" and not (source[j : j + 1] == "\\" or source[j + 1 : j + 2] == "'"):
-                i += 1
-                continue
-            while j < n and source[j] != q and (q == "`" or source[j] != "\n"):
-                j += 2 if source[j] == "\\" else 1
-            wipe(no_text, i + 1, min(j, n))
-            i = j + 1
-            continue
+def blank(source: str, quotes: str = "\"'`", lifetimes: bool = False) -> tuple[str, str, list[tuple[int, int]]]:
+    """(without comments, without comments and text, spans of the comments); lengths and line ends stay.
+
+    ``lifetimes``: a single quote that encloses no single character (Rust) is no text.
+    """
+    plain, code, spans, at = [], [], [], 0
+    for m in _scanner(quotes, lifetimes).finditer(source):
+        a, b = m.span()
+        plain.append(source[at:a])
+        code.append(source[at:a])
+        empty = _NOT_END.sub(" ", m[0])
+        if m["note"] is not None:
+            spans.append((a, b))
+            plain.append(empty)
+            code.append(empty)
         else:
-            i += 1
-            continue
-        spans.append((i, j))
-        wipe(no_comment, i, j)
-        wipe(no_text, i, j)
-        i = j
-    return "".join(no_comment), "".join(no_text), spans
+            plain.append(m[0])
+            code.append(m[0][0] + empty[1:-1] + m[0][-1] if len(m[0]) > 1 else m[0])
+        at = b
+    return "".join([*plain, source[at:]]), "".join([*code, source[at:]]), spans
 
 
 def closing(text: str, at: int, pairs: str = "()") -> int:

@@ -39,7 +39,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     plain = F.regexp_replace("path", "^file:/+", "file:/")
     rel = F.substring(plain, F.lit(len(base) + 2), F.length(plain))
     df = raw.withColumn("file_path", F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B")))).where(wanted("file_path"))
-    return df.select("file_path", language_of("file_path").alias("language"), F.md5("content").alias("file_hash"), F.length("content").cast("long").alias("size_bytes"), F.decode(F.col("content"), F.lit("UTF-8")).alias("content"))
+    return df.select("file_path", language_of("file_path").alias("language"), F.md5("content").alias("file_hash"), F.length("content").cast("long").alias("size_bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def snippet(content: Column | str, start: Column | str, end: Column | str) -> Column:
