@@ -188,8 +188,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
     parts = min(MOST_PARTS, 1 << max(0, math.ceil(math.log2(max(1, total) / part_rows))))
     if parts > 1:
         few = base.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // SAMPLE_ROWS))) == 0).limit(SAMPLE_ROWS)
-        sample = _prepared(few, project, np.zeros(1, int), np.zeros(1), 1).select("vector").toPandas()["vector"]
-        axis, value = _top_tree(_matrix(sample) @ project, parts)
+        sample = _prepared(few, project, np.zeros(1, int), np.zeros(1), 1).mapInPandas(lambda it: (pd.DataFrame({"point": list(_matrix(x["vector"]) @ project)}) for x in it if len(x)), "point array<float>").toPandas()["point"]
+        axis, value = _top_tree(np.stack(sample.to_numpy()).astype(np.float32) if len(sample) else np.zeros((0, DIM), np.float32), parts)
     else:
         axis, value = np.zeros(1, np.int64), np.zeros(1, np.float32)
     data = cut(_prepared(base, project, axis, value, parts))
