@@ -42,18 +42,33 @@ def _word(raw: str) -> str:
     return _RUN.sub(r"\1", w)
 
 
-def windows(text: str) -> list[list[str]]:
-    """The words of a text in pieces between sentence ends, cut to overlapping windows."""
+class _Words(dict):
+    """Token -> its normal form, kept."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[raw] = _word(raw)
+        return got
+
+
+_WORDS = _Words()
+
+
+def pieces(text: str) -> list[list[str]]:
+    """The words of a text in pieces between sentence ends."""
     text = _SPACED.sub(lambda m: m.group(0)[::2], text)
-    out = []
-    for piece in _PIECE.split(text):
-        w = [_word(t) for t in _TOKEN.findall(piece)]
-        if len(w) <= WIDTH:
-            if w:
-                out.append(w)
-        else:
-            out += [w[i : i + WIDTH] for i in range(0, len(w) - WIDTH + STRIDE, STRIDE)]
-    return out
+    return [w for p in _PIECE.split(text) if (w := [_WORDS[t] for t in _TOKEN.findall(p)])]
+
+
+def starts(n: int) -> range:
+    """Where the windows of a piece of ``n`` words begin."""
+    return range(1) if n <= WIDTH else range(0, n - WIDTH + STRIDE, STRIDE)
+
+
+def windows(text: str) -> list[list[str]]:
+    """The pieces of a text cut to overlapping windows."""
+    return [w[i : i + WIDTH] for w in pieces(text) for i in starts(len(w))]
 
 
 class _Features(dict):
@@ -102,9 +117,20 @@ class Model:
         return s / (n + PAD) + self.bias
 
     def score(self, text: str | None) -> float:
-        """Probability of the worst window; 0 for a text without words."""
-        z = max((self.window(w) for w in windows(text)), default=None) if text else None
-        return 0.0 if z is None else float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        """Probability of the worst window; 0 for a text without words. Windows are differences of running sums."""
+        worst = None
+        for w in pieces(text) if text else ():
+            s, n = [0.0], [0]  # word, pair with the next, word, ..
+            for k, u in enumerate(w):
+                for unit in (u, f"{u} {w[k + 1]}") if k + 1 < len(w) else (u,):
+                    a, b = self._sum(unit)
+                    s.append(s[-1] + a)
+                    n.append(n[-1] + b)
+            for i in starts(len(w)):
+                j = 2 * min(i + WIDTH, len(w)) - 1
+                z = (s[j] - s[2 * i]) / (n[j] - n[2 * i] + PAD)
+                worst = z if worst is None or z > worst else worst
+        return 0.0 if worst is None else float(1 / (1 + np.exp(-np.clip(worst + self.bias, -30, 30))))
 
 
 def _train(bags: list[list[str]], y: np.ndarray, weight: np.ndarray, feats: _Features, epochs: int, seed: int) -> Model:
