@@ -1,7 +1,7 @@
 """Problem 8: evaluation texts that leaked into the corpus.
 
-Every window of ``run`` words of an item holds at least one of its seeds, the rarest word n-grams of that window by
-their number of occurrences in the whole corpus. A document with a seed is aligned with the seed's item: the longest
+Every window of ``run`` words of an item has a seed, the rarest of its word n-grams that the corpus holds, by their
+number of occurrences there; a document with the whole window thus holds its seed. A document with a seed is aligned with the seed's item: the longest
 common run of words decides exactly, and a Smith-Waterman alignment scores edited and paraphrased copies.
 """
 
@@ -128,7 +128,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, seed: i
         hits = cut(docs.mapInArrow(_hits(wanted, seed), "doc_id long, gram long, n long"))
         often = hits.groupBy("gram").agg(F.sum("n").alias("often"))
         window = spark.createDataFrame(pd.DataFrame(windows, columns=["item_id", "at", "gram"]), "item_id long, at int, gram long")
-        rare = window.join(often, "gram", "left").groupBy("item_id", "at").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+        rare = window.join(often, "gram").groupBy("item_id", "at").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
         pairs = hits.join(rare.select("item_id", "gram").distinct(), "gram").select("doc_id", "item_id").distinct()
         texts = docs.join(pairs, "doc_id").join(tests.withColumnRenamed("text", "task"), "item_id").select("doc_id", "item_id", "text", "task")
         part = texts.mapInPandas(_align, "doc_id long, item_id long, run_words int, alignment double")
