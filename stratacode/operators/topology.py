@@ -15,19 +15,31 @@ def imports(files: DataFrame) -> DataFrame:
     )
 
 
+def _grams(text: str, sizes: Column) -> Column:
+    """The distinct substrings of ``text`` of each of ``sizes``."""
+    one = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substr(F.col(text), i, n))
+    return F.array_distinct(F.flatten(F.transform(sizes, one)))
+
+
 def file_dependencies(files: DataFrame, exclude_self: bool = False) -> DataFrame:
     """Every import with the file of its project whose path contains the module's: the smallest path, or null.
 
-    The module's dots count as slashes. A substring join has no key of its own: distinct modules are compared with the
-    distinct paths of their project, so repeated imports cost one comparison, and the answers join back by key.
+    The module's dots count as slashes. A substring has no key of its own, so each distinct module meets the project's
+    paths by the rarest of its three-character substrings (a shorter module by itself), which every path that contains
+    it must hold, and only those are compared: no project is multiplied out.
     """
     got = imports(files).where("source is not null and source <> ''").withColumn("module", F.translate("source", ".", "/"))
-    paths = files.select(F.col("project_id").alias("p"), F.col("id").alias("target_id"), F.col("file_path").alias("target_path"))
-    keys = ["project_id", "module", *(["file_id"] if exclude_self else [])]
-    wanted = got.select(*keys).distinct()
-    met = wanted.join(paths, (F.col("project_id") == F.col("p")) & F.col("target_path").contains(F.col("module")))
+    paths = files.where("file_path is not null and project_id is not null").select("project_id", F.col("id").alias("target_id"), F.col("file_path").alias("target_path"))
+    held = paths.select("*", F.explode(_grams("target_path", F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("gram"))
+    often = held.groupBy("project_id", "gram").agg(F.count(F.lit(1)).alias("often"))
+    modules = got.select("project_id", "module").distinct()
+    asked = modules.select("project_id", "module", F.explode(_grams("module", F.array(F.least(F.lit(3), F.length("module"))))).alias("gram"))
+    rarest = asked.join(often, ["project_id", "gram"], "left").groupBy("project_id", "module").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    met = rarest.join(held, ["project_id", "gram"]).where(F.col("target_path").contains(F.col("module")))
+    keys = ["project_id", "module"]
     if exclude_self:
-        met = met.where("file_id <> target_id")
+        met = met.join(got.select("project_id", "module", "file_id").distinct(), keys).where("file_id <> target_id")
+        keys.append("file_id")
     best = met.groupBy(*keys).agg(F.min(F.struct("target_path", "target_id")).alias("x"))
     out = got.join(best, keys, "left")
     return out.select("file_id", "project_id", "file_path", "pos", "source", "line", F.col("x.target_id").alias("target_id"), F.col("x.target_path").alias("target_path"))
@@ -103,22 +115,38 @@ def subclasses(classes: DataFrame, files: DataFrame, project_id: int | None = No
     return edge.join(cl, "class_id").select("parent_name", "class_id", "class_name", "file_path", "relationship_type")
 
 
+BIN = 64
+
+
+def _bins(start: str, end: str) -> Column:
+    """The bins of ``BIN`` lines that a range of lines touches; none for an empty or unknown one."""
+    lo, hi = F.floor(F.col(start) / BIN), F.floor(F.col(end) / BIN)
+    return F.when(F.col(start) <= F.col(end), F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+
 def class_methods(classes: DataFrame, functions: DataFrame) -> DataFrame:
-    """(class_id, function_id): functions named ``Class.`` something, else, for a class without such, those within its lines."""
+    """(class_id, function_id): functions named ``Class.`` something, else, for a class without such, those within its lines.
+
+    Names meet by equality of the part before the first dot, lines by bins, each within the file.
+    """
     cl = classes.select(F.col("id").alias("class_id"), F.col("name").alias("class_name"), "file_id", F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
     fn = functions.select(F.col("id").alias("function_id"), "name", "file_id", "start_line", "end_line")
-    met = cl.join(fn, "file_id").select("class_id", "function_id", F.startswith("name", F.concat("class_name", F.lit("."))).alias("by_name"), ((F.col("start_line") >= F.col("cs")) & (F.col("end_line") <= F.col("ce"))).alias("inside"))
-    met = met.where("by_name or inside")
-    some = met.where("by_name").select("class_id").distinct().withColumn("has", F.lit(True))
-    return met.join(some, "class_id", "left").where("by_name or (inside and has is null)").select("class_id", "function_id")
+    lead = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("name", r"\.")) - 1), lambda n: F.array_join(F.slice(F.split("name", r"\."), F.lit(1), n), "."))).alias("class_name")
+    named = cl.select("class_id", "class_name", "file_id").join(fn.where(F.col("name").contains(".")).select("function_id", "file_id", lead), ["file_id", "class_name"]).select("class_id", "function_id").distinct()
+    spans = cl.select("class_id", "file_id", "cs", "ce", F.explode(_bins("cs", "ce")).alias("bin"))
+    inside = fn.withColumn("bin", F.floor(F.col("start_line") / BIN)).join(spans, ["file_id", "bin"]).where("start_line >= cs and end_line <= ce").select("class_id", "function_id")
+    return named.union(inside.join(named.select("class_id").distinct(), "class_id", "left_anti"))
 
 
 def enclosing_functions(functions: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(rel_id, function_id): for each call with a line, the innermost function of the caller's file around that line."""
+    """(rel_id, line, function_id): for each call with a line, the innermost function of the caller's file around that line.
+
+    Lines and functions meet by file and bin of lines.
+    """
     at = relationships.where("context_line is not null").select(F.col("id").alias("rel_id"), "source_function_id", F.col("context_line").alias("line")).distinct()
-    place = at.join(functions.select(F.col("id").alias("source_function_id"), "file_id"), "source_function_id")
-    spans = functions.select("file_id", F.col("id").alias("function_id"), "start_line", "end_line")
-    met = place.join(spans, "file_id").where("line >= start_line and line <= end_line")
+    place = at.join(functions.select(F.col("id").alias("source_function_id"), "file_id"), "source_function_id").withColumn("bin", F.floor(F.col("line") / BIN))
+    spans = functions.select("file_id", F.col("id").alias("function_id"), "start_line", "end_line", F.explode(_bins("start_line", "end_line")).alias("bin"))
+    met = place.join(spans, ["file_id", "bin"]).where("line >= start_line and line <= end_line")
     return met.groupBy("rel_id", "line").agg(F.max_by("function_id", F.struct("start_line", "function_id")).alias("function_id"))
 
 

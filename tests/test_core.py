@@ -111,14 +111,18 @@ def test_equal_code_is_asked_for_once(spark):
     assert {r.id: r.ai_purpose for r in enrich.fill_purposes(fn, enrich.NameProvider()).collect()} == {1: "does get user", 2: "does get user", 4: ""}
 
 
-def test_report_and_stats(spark):
+def test_report_and_stats(spark, tmp_path):
     pr = conform(spark.createDataFrame([(1, "p"), (2, "q")], "id long, name string"), "projects")
     fl = conform(spark.createDataFrame([(1, 1, "a.py")], "id long, project_id long, file_path string"), "files")
     fn = conform(spark.createDataFrame([(1, 1, "f", "Doc\nmore", 2, 3, "x"), (2, 1, "g", None, None, None, None)], "id long, file_id long, name string, docstring string, start_line int, end_line int, code_snippet string"), "functions")
     cl = conform(spark.createDataFrame([(1, 1, "C", 1)], "id long, file_id long, name string, start_line int"), "classes")
-    text = {r.project_id: r.markdown for r in report.project_report(pr, fl, fn, cl).collect()}
-    assert text[1] == "# p\n\nFiles: 1, functions: 2, classes: 1\n\n## a.py\n- class `C` (lines 1-?)\n- function `g` (lines ?-?)\n- function `f` (lines 2-3): Doc more"
-    assert text[2] == "# q\n\nFiles: 0, functions: 0, classes: 0\n\n"
+    rows = report.project_report(pr, fl, fn, cl)
+    ordered = [(r.project_id, r.line) for r in rows.orderBy(*report.REPORT_ORDER).collect()]
+    assert [x for p, x in ordered if p == 1] == ["# p", "Files: 1, functions: 2, classes: 1", "## a.py", "- class `C` (lines 1-?)", "- function `g` (lines ?-?)", "- function `f` (lines 2-3): Doc more"]
+    assert [x for p, x in ordered if p == 2] == ["# q", "Files: 0, functions: 0, classes: 0"]
+    report.write_reports(rows, str(tmp_path / "r"))
+    parts = sorted((tmp_path / "r" / "project_id=1").glob("*.txt"))
+    assert "".join(p.read_text() for p in parts).startswith("# p\n\nFiles: 1, functions: 2, classes: 1\n\n## a.py\n- class `C`")
     got = {r.project_id: r for r in stats.project_stats(pr, fl, fn, cl).collect()}
     assert (got[1].functions, got[1].with_code_snippet_pct, got[2].with_code_snippet_pct) == (2, 50.0, 0.0)
     with pytest.raises(ValueError):
