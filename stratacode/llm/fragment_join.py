@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut
 
@@ -32,6 +32,7 @@ _WORD = re.compile(r"[A-Za-z0-9_]+")
 _U = np.uint64
 _BLOCK_TOKENS = 600_000
 _FRAGMENT_TOKENS = 1_500_000
+COPIES = 64
 
 
 @dataclass(frozen=True)
@@ -270,12 +271,24 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     return pairs.select("field", "a", "b", "overlap", "n_a", "n_b"), classes
 
 
-def expand_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(field, id_a, id_b), id_a < id_b: the pairs between the members of similar classes, and those within a class."""
-    left = classes.select("field", F.col("class_id").alias("a"), F.col("id").alias("x"))
-    right = classes.select("field", F.col("class_id").alias("b"), F.col("id").alias("y"))
+def expand_pairs(pairs: DataFrame, classes: DataFrame, full: int = COPIES) -> DataFrame:
+    """(field, id_a, id_b), id_a < id_b: the pairs between the members of similar classes, and those within a class.
+
+    Of a class of equal sets the ``full`` smallest ids stand in all pairs; each further copy is paired with the class's
+    smallest id only, which together with that id's pairs tells all of its own. No group of copies, however large, is
+    thus multiplied out, and no link between different sets is lost.
+    """
+    sizes = classes.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    many = classes.join(sizes, ["field", "class_id"])
+    place = F.row_number().over(W.partitionBy("field", "class_id").orderBy("id"))
+    first = many.where(F.col("members") > full).withColumn("place", place).where(F.col("place") <= full).select("field", "class_id", "id")
+    first = first.union(many.where(F.col("members") <= full).select("field", "class_id", "id"))
+    rest = many.where(F.col("members") > full).select("field", "class_id", "id").join(first.select("field", "id"), ["field", "id"], "left_anti")
+    alone = classes.join(sizes.select("field", "class_id"), ["field", "class_id"], "left_anti").select("field", "class_id", "id")
+    shown = alone.union(first)
+    left = shown.select("field", F.col("class_id").alias("a"), F.col("id").alias("x"))
+    right = shown.select("field", F.col("class_id").alias("b"), F.col("id").alias("y"))
     across = pairs.select("field", "a", "b").join(left, ["field", "a"]).join(right, ["field", "b"]).select("field", "x", "y")
-    several = classes.groupBy("field", "class_id").count().where("count > 1").select("field", "class_id")
-    many = classes.join(several, ["field", "class_id"])
-    within = many.select("field", "class_id", F.col("id").alias("x")).join(many.select("field", "class_id", F.col("id").alias("y")), ["field", "class_id"]).where("x < y").select("field", "x", "y")
-    return across.union(within).select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    within = first.withColumnRenamed("id", "x").join(first.withColumnRenamed("id", "y"), ["field", "class_id"]).where("x < y").select("field", "x", "y")
+    further = rest.select("field", F.col("class_id").alias("x"), F.col("id").alias("y"))
+    return across.union(within).union(further).select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

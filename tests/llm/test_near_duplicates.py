@@ -91,3 +91,6 @@ def test_many_copies_cost_one_class(spark):
     rows = [(0, 0, i, code) for i in range(300)] + [(0, 0, 1000, code + " y z")]
     pairs, classes = similar_sets(spark.createDataFrame(rows, SCHEMA), FIELDS, 2000, 500)
     assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1000)] and classes.count() == 301
+    got = {(r.id_a, r.id_b) for r in expand_pairs(pairs, classes, full=10).collect()}
+    want = {(i, j) for i in range(10) for j in range(i + 1, 10)} | {(0, i) for i in range(10, 300)} | {(i, 1000) for i in range(10)}
+    assert got == want
