@@ -12,9 +12,13 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import embedding_text
 from ..session import table
+from ..sources.source_tree import snippet
+from .incremental import cross_project_code
+from .report import file_summary
 
 REPLY = "purpose string, inputs array<struct<name:string,type:string,description:string>>, outputs struct<type:string,description:string>, side_effects array<string>"
 CONFIDENCES = ("high", "medium", "low")
@@ -102,12 +106,86 @@ def fill_purposes(functions: DataFrame, provider: Provider, batch: int = 15) ->
     return gap.select("id", "key").join(keyed, "key").select("id", "ai_purpose")
 
 
+class HashingEmbedder:
+    """A stand-in for an embedding service: signed hashes of words, scaled to length one; empty text has no vector."""
+
+    def __init__(self, width: int = 64) -> None:
+        self.width = width
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        import hashlib
+
+        out: list[list[float] | None] = []
+        for text in texts:
+            v = [0.0] * self.width
+            for w in re.findall(r"[a-z0-9]+", text.lower()):
+                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
+                v[h % self.width] += 1.0 if h >> 63 else -1.0
+            size = sum(x * x for x in v) ** 0.5
+            out.append([x / size for x in v] if size else None)
+        return out
+
+
+def embed(texts: DataFrame, embedder: HashingEmbedder, batch: int = 64) -> DataFrame:
+    """(id, embedding) of ``texts(id, text)``, in batches; null where the text is empty or the service fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            got: list = []
+            for i in range(0, len(pdf), batch):
+                part = [t or "" for t in pdf["text"].iloc[i : i + batch]]
+                try:
+                    reply = embedder.embed(part)
+                    got += reply if len(reply) == len(part) else [None] * len(part)
+                except Exception:
+                    got += [None] * len(part)
+            yield pd.DataFrame({"id": pdf["id"], "embedding": got})
+
+    return texts.select("id", "text").mapInPandas(run, "id long, embedding array<float>")
+
+
+def overview_items(projects: DataFrame, files: DataFrame, functions: DataFrame, classes: DataFrame, most_files: int = 40) -> DataFrame:
+    """(id, name, return_type, code): one item a project for :func:`ask`, its text the summary of its first files by path.
+
+    An overview is made of a bounded text: ``most_files`` files, each cut to 400 characters.
+    """
+    summary = file_summary(files, functions, classes)
+    place = F.row_number().over(W.partitionBy("project_id").orderBy("file_path", "file_id"))
+    row = F.substring(F.concat(F.coalesce("file_path", F.lit("?")), F.lit(": "), "functions", F.lit("; "), "classes", F.lit("; "), "doc"), 1, 400)
+    few = summary.withColumn("place", place).where(F.col("place") <= most_files).select("project_id", F.struct("place", row.alias("row")).alias("x"))
+    text = few.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), "\n").alias("code"))
+    return projects.select(F.col("id"), F.col("id").alias("project_id"), "name").join(text, "project_id").select("id", "name", F.lit(None).cast("string").alias("return_type"), "code")
+
+
+def fill_snippets(functions: DataFrame, files: DataFrame, projects: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """(id, code_snippet, origin) for functions without code: their lines in ``tree(project_id, file_path, content)``, else a sibling project's code.
+
+    ``origin`` is ``source`` or ``sibling``; functions that neither helps have no row.
+    """
+    gap = functions.where("code_snippet is null").select("id", "file_id", "start_line", "end_line")
+    donors = cross_project_code(functions, files, projects).join(functions.select(F.col("id").alias("donor_id"), F.col("code_snippet").alias("theirs")), "donor_id").select("id", "theirs")
+    out = gap.join(donors, "id", "left")
+    if tree is None:
+        out = out.withColumn("own", F.lit(None).cast("string"))
+    else:
+        source = files.select(F.col("id").alias("file_id"), "project_id", "file_path").join(tree.select("project_id", "file_path", "content"), ["project_id", "file_path"]).select("file_id", "content")
+        out = out.join(source, "file_id", "left").withColumn("own", F.nullif(snippet("content", "start_line", "end_line"), F.lit("")))
+    return out.where("own is not null or theirs is not null").select("id", F.coalesce("own", "theirs").alias("code_snippet"), F.when(F.col("own").isNotNull(), "source").otherwise("sibling").alias("origin"))
+
+
 QUERIES = {
+    "embedding_generate": lambda s, d: embed(table(s, d, "functions").select("id", embedding_text().alias("text")), HashingEmbedder()).select("id", F.size("embedding").alias("width")),
+    "overview_items": lambda s, d: overview_items(*(table(s, d, n) for n in ("projects", "files", "functions", "classes"))).select("id", F.md5("code").alias("text_md5")),
+    "snippet_fill": lambda s, d: fill_snippets(*(table(s, d, n) for n in ("functions", "files", "projects"))),
     "enrich_stub": lambda s, d: fill_purposes(table(s, d, "functions"), NameProvider()),
     "json_normalize": lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")),
     "pattern_normalize": lambda s, d: table(s, d, "classes").select("id", F.explode(normalise_patterns("ai_patterns")).alias("p")).select("id", "p.pattern", "p.confidence"),
 }
 ORACLE_SQL = {
+    "embedding_generate": "SELECT id, CASE WHEN regexp_matches(lower(concat_ws(' ', name, signature, ai_purpose, left(docstring, 500), left(code_snippet, 2000))), '[a-z0-9]') THEN 64 END AS width FROM functions",
+    "overview_items": """WITH fn AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS f, arg_min(docstring, id) FILTER (trim(docstring) <> '') AS doc FROM functions GROUP BY 1), cl AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS c FROM classes GROUP BY 1),
+r AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY file_path NULLS FIRST, id) AS place, left(coalesce(file_path, '?') || ': ' || coalesce(f, '') || '; ' || coalesce(c, '') || '; ' || left(coalesce(doc, ''), 200), 400) AS row FROM files LEFT JOIN fn ON fn.file_id = id LEFT JOIN cl ON cl.file_id = id QUALIFY place <= 40)
+SELECT p.id, md5(string_agg(r.row, chr(10) ORDER BY place)) AS text_md5 FROM projects p JOIN r ON r.project_id = p.id GROUP BY 1""",
     "enrich_stub": r"""WITH g AS (SELECT id, coalesce(code_hash, 'id:' || id) AS key, name FROM functions WHERE coalesce(ai_purpose, '') = ''),
 f AS (SELECT key, arg_min(coalesce(name, ''), id) AS name FROM g GROUP BY 1), w AS (SELECT key, trim(lower(replace(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'), '_', ' '))) AS words FROM f)
 SELECT g.id, CASE WHEN words <> '' THEN 'does ' || words ELSE '' END AS ai_purpose FROM g JOIN w USING (key)""",

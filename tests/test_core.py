@@ -165,3 +165,15 @@ def test_class_methods_by_name_or_lines(spark):
 
 def test_json_reply_text():
     assert json.loads(enrich.NameProvider().reply([{"name": "a_b"}])[0])["purpose"] == "does a b"
+
+
+def test_embeddings_and_snippets(spark):
+    texts = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None), (4, "alpha beta")], "id long, text string")
+    got = {r.id: r.embedding for r in enrich.embed(texts, enrich.HashingEmbedder(8), batch=2).collect()}
+    assert got[1] == got[4] and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[2] is None and got[3] is None
+    fn = spark.createDataFrame([(1, 1, "f", 2, 3, None), (2, 2, "f", 2, 3, "theirs"), (3, 3, "g", 1, 1, None)], "id long, file_id long, name string, start_line int, end_line int, code_snippet string")
+    fl = spark.createDataFrame([(1, 1, "a"), (2, 2, "a"), (3, 1, "b")], "id long, project_id long, file_path string")
+    pr = spark.createDataFrame([(1, "u"), (2, "u")], "id long, repo_url string")
+    assert [tuple(r) for r in enrich.fill_snippets(fn, fl, pr).collect()] == [(1, "theirs", "sibling")]
+    tree = spark.createDataFrame([(1, "b", "only\nline")], "project_id long, file_path string, content string")
+    assert sorted(tuple(r) for r in enrich.fill_snippets(fn, fl, pr, tree).collect()) == [(1, "theirs", "sibling"), (3, "only\n", "source")]
