@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import cut
+from ..session import cut, is_empty
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 _U = np.uint64
@@ -245,7 +245,7 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
 
     key = ["field", "key_a", "key_b", "n"]
     least = alive.groupBy(*key).agg(F.min("id").alias("class_id"))
-    classes = alive.select(*key, "id").join(least, key).select("field", "class_id", "id").distinct()
+    classes = cut(alive.select(*key, "id").join(least, key).select("field", "class_id", "id").distinct())
     reps = cut(alive.join(least, key).where("id = class_id").select("field", "class_id", "n", "need", "tokens", "dfs").dropDuplicates(["field", "class_id"]))
 
     posting = reps.select("field", "class_id", "n", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("pos", "token"), (F.size("tokens")).alias("shared"))
@@ -268,7 +268,7 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     partial = candidates.join(seg_a, ["field", "a"]).join(seg_b, ["field", "b", "fragment"])
     partial = partial.select("field", "a", "b", "n_a", "n_b", F.size(F.array_intersect("segment_a", "segment_b")).alias("part"))
     pairs = partial.groupBy("field", "a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap")).where((p + q) * F.col("overlap") >= p * (F.col("n_a") + F.col("n_b")))
-    return pairs.select("field", "a", "b", "overlap", "n_a", "n_b"), classes
+    return cut(pairs.select("field", "a", "b", "overlap", "n_a", "n_b")), classes
 
 
 def expand_pairs(pairs: DataFrame, classes: DataFrame, full: int = COPIES) -> DataFrame:
@@ -279,16 +279,18 @@ def expand_pairs(pairs: DataFrame, classes: DataFrame, full: int = COPIES) -> Da
     thus multiplied out, and no link between different sets is lost.
     """
     sizes = classes.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    many = classes.join(sizes, ["field", "class_id"])
-    place = F.row_number().over(W.partitionBy("field", "class_id").orderBy("id"))
-    first = many.where(F.col("members") > full).withColumn("place", place).where(F.col("place") <= full).select("field", "class_id", "id")
-    first = first.union(many.where(F.col("members") <= full).select("field", "class_id", "id"))
-    rest = many.where(F.col("members") > full).select("field", "class_id", "id").join(first.select("field", "id"), ["field", "id"], "left_anti")
-    alone = classes.join(sizes.select("field", "class_id"), ["field", "class_id"], "left_anti").select("field", "class_id", "id")
-    shown = alone.union(first)
+    many = cut(classes.join(sizes, ["field", "class_id"]))
+    shown, first, further = classes, many.select("field", "class_id", "id"), None
+    if not is_empty(many.where(F.col("members") > full)):
+        place = F.row_number().over(W.partitionBy("field", "class_id").orderBy("id"))
+        large = many.where(F.col("members") > full).withColumn("place", place).where(F.col("place") <= full).select("field", "class_id", "id")
+        first = cut(many.where(F.col("members") <= full).select("field", "class_id", "id").union(large))
+        rest = cut(many.where(F.col("members") > full).select("field", "class_id", "id").join(first.select("field", "id"), ["field", "id"], "left_anti"))
+        shown = classes.join(rest.select("field", "id"), ["field", "id"], "left_anti")
+        further = rest.select("field", F.col("class_id").alias("x"), F.col("id").alias("y"))
     left = shown.select("field", F.col("class_id").alias("a"), F.col("id").alias("x"))
     right = shown.select("field", F.col("class_id").alias("b"), F.col("id").alias("y"))
     across = pairs.select("field", "a", "b").join(left, ["field", "a"]).join(right, ["field", "b"]).select("field", "x", "y")
     within = first.withColumnRenamed("id", "x").join(first.withColumnRenamed("id", "y"), ["field", "class_id"]).where("x < y").select("field", "x", "y")
-    further = rest.select("field", F.col("class_id").alias("x"), F.col("id").alias("y"))
-    return across.union(within).union(further).select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    got = across.union(within) if further is None else across.union(within).union(further)
+    return got.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
