@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import table
 
 BUCKETS, DIM, WIDTH, STRIDE, PAD = 1 << 18, 16, 12, 4, 24
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 TELLING = 16.0
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*\-_][^\W\d_]){3,}(?![^\W_])")
 _PIECE = re.compile(r"[.!?…:;]+(?=\s|$)|\n+|```")

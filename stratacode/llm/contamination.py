@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import cut, table
 
 _WORD = re.compile(r"[a-z0-9]+")
-RUN, SEED, ITEM_BLOCK = 13, 5, 20_000
+RUN, SEED, ITEM_BLOCK = 13, 5, 2_000
 
 
 def words_of(text: str | None) -> list[str]:
