@@ -102,6 +102,27 @@ def unfinished_tasks(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("status").isin(*UNFINISHED))
 
 
+def resumable_tasks(tasks: DataFrame) -> DataFrame:
+    """Tasks that may be taken up again: failed or pending ones."""
+    return tasks.where(F.col("status").isin("failed", "pending"))
+
+
+def checkpoint(tasks: DataFrame, saved: DataFrame) -> DataFrame:
+    """``tasks`` with the state saved for them: ``saved(id, processed_files, last_processed_file, total_files)``; completed tasks lose theirs."""
+    out = upsert(tasks, saved.join(tasks.select("id"), "id", "left_semi"))
+    done = F.col("status") == "completed"
+    clear = {c: F.when(done, None).otherwise(F.col(c)) for c in ("processed_files", "last_processed_file") if c in tasks.columns}
+    return out.withColumns(clear)
+
+
+def set_mode(projects: DataFrame, chosen: DataFrame, mode: str) -> DataFrame:
+    """``projects`` with the analysis mode of those in ``chosen(id)`` set."""
+    if mode not in ("ai", "beginner", "expert"):
+        raise ValueError("mode must be ai, beginner or expert")
+    mark = chosen.select("id").distinct().withColumn("_set", F.lit(True))
+    return projects.join(mark, "id", "left").withColumn("analysis_mode", F.when(F.col("_set"), mode).otherwise(F.col("analysis_mode"))).drop("_set").select(projects.columns)
+
+
 def progress_percent(step: str, index: str, total: str) -> Column:
     """Progress of a step: 10 clone, 30 to 90 while parsing, 85 overview, 90 report, 100 completed."""
     share = F.when(F.col(total) > 0, F.col(index) / F.col(total)).otherwise(F.lit(0.0))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
 _SHIPPED: set[str] = set()
+_CUTS: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -62,19 +63,39 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(work_dir(spark), f"cut_{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    _CUTS.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes what :func:`cut` wrote for ``df``; for the rounds of a loop that no later plan reads."""
     path = getattr(df, "_cut_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+        _CUTS.remove(path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Deletes all that :func:`cut` wrote in this process; results that are not yet written out can no longer be read."""
+    while _CUTS:
+        _delete(spark, _CUTS.pop())
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            clear_cuts(spark)
+        except Exception:  # the JVM may be gone before us
+            pass
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -177,3 +177,16 @@ def test_embeddings_and_snippets(spark):
     assert [tuple(r) for r in enrich.fill_snippets(fn, fl, pr).collect()] == [(1, "theirs", "sibling")]
     tree = spark.createDataFrame([(1, "b", "only\nline")], "project_id long, file_path string, content string")
     assert sorted(tuple(r) for r in enrich.fill_snippets(fn, fl, pr, tree).collect()) == [(1, "theirs", "sibling"), (3, "only\n", "source")]
+
+
+def test_tasks_are_saved_and_resumed(spark):
+    s = "id long, status string, processed_files array<string>, last_processed_file string, total_files int"
+    tasks = spark.createDataFrame([(1, "running", None, None, None), (2, "completed", ["a"], "a", 1), (3, "failed", ["x"], "x", 9)], s)
+    saved = spark.createDataFrame([(1, ["a", "b"], "b", 5), (7, ["z"], "z", 1)], "id long, processed_files array<string>, last_processed_file string, total_files int")
+    got = {r.id: r for r in incremental.checkpoint(tasks, saved).collect()}
+    assert got[1].processed_files == ["a", "b"] and got[1].total_files == 5 and got[2].processed_files is None and got[3].last_processed_file == "x" and 7 not in got
+    assert [r.id for r in incremental.resumable_tasks(tasks).collect()] == [3]
+    pr = spark.createDataFrame([(1, "ai"), (2, None)], "id long, analysis_mode string")
+    assert {r.id: r.analysis_mode for r in incremental.set_mode(pr, pr.where("id = 2"), "expert").collect()} == {1: "ai", 2: "expert"}
+    with pytest.raises(ValueError):
+        incremental.set_mode(pr, pr, "x")
