@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import abuse, contamination, doc_pairs, handwritten, mixing, near_duplicates, neighbours, secrets
+from . import abuse, contamination, doc_pairs, handwritten, mixing, near_duplicates, neighbours, secrets, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_duplicates.p1_found,
@@ -26,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": abuse.p10_found,
     "p10_sources": abuse.p10_sources,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
