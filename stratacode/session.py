@@ -17,10 +17,13 @@ _CUTS: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once per application, wherever the driver was started.
+    """Prepares a session: gives the executors' Python this package, once per application, wherever the driver was started.
 
-    The archive is served by the driver; it is read there only.
+    The archive is served by the driver; it is read there only. Unions are also kept from claiming a partitioning:
+    with it, adaptive planning of a join over a union can end in "PartitioningCollection requires all of its
+    partitionings have the same numPartitions" (seen with Spark 4.1.2).
     """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
