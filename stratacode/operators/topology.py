@@ -138,6 +138,17 @@ def class_methods(classes: DataFrame, functions: DataFrame) -> DataFrame:
     return named.union(inside.join(named.select("class_id").distinct(), "class_id", "left_anti"))
 
 
+def enclosing_classes(functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """(function_id, class_id): the innermost class of the file whose lines hold the function; of equal spans the smallest id.
+
+    Functions and classes meet by file and bin of lines, so that a file with very many of both is not multiplied out.
+    """
+    fn = functions.where("start_line <= end_line").select(F.col("id").alias("function_id"), "file_id", F.col("start_line").alias("at"), F.col("end_line").alias("to"), F.floor(F.col("start_line") / BIN).alias("bin"))
+    spans = classes.select(F.col("id").alias("class_id"), "file_id", F.col("start_line").alias("cs"), F.col("end_line").alias("ce"), F.explode(_bins("start_line", "end_line")).alias("bin"))
+    inside = fn.join(spans, ["file_id", "bin"]).where("at >= cs and to <= ce")
+    return inside.groupBy("function_id").agg(F.min_by("class_id", F.struct(F.col("ce") - F.col("cs"), "class_id")).alias("class_id"))
+
+
 def enclosing_functions(functions: DataFrame, relationships: DataFrame) -> DataFrame:
     """(rel_id, line, function_id): for each call with a line, the innermost function of the caller's file around that line.
 

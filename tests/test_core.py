@@ -190,3 +190,9 @@ def test_tasks_are_saved_and_resumed(spark):
     assert {r.id: r.analysis_mode for r in incremental.set_mode(pr, pr.where("id = 2"), "expert").collect()} == {1: "ai", 2: "expert"}
     with pytest.raises(ValueError):
         incremental.set_mode(pr, pr, "x")
+
+
+def test_the_innermost_class(spark):
+    cl = spark.createDataFrame([(1, 1, 1, 500), (2, 1, 100, 300), (3, 1, 100, 300), (4, 2, 1, 500), (5, 1, 9, None)], "id long, file_id long, start_line int, end_line int")
+    fn = spark.createDataFrame([(1, 1, 150, 160), (2, 1, 290, 310), (3, 3, 1, 2), (4, 1, None, 5), (5, 1, 499, 501)], "id long, file_id long, start_line int, end_line int")
+    assert {(r.function_id, r.class_id) for r in topology.enclosing_classes(fn, cl).collect()} == {(1, 2), (2, 1)}
