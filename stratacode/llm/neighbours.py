@@ -177,8 +177,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
     Ties go to the smaller id. Null vectors, vectors of another width, with null or infinite parts or all zero take no
     part, neither as queries nor as answers; an id given twice counts once, with its greatest vector. With fewer than k others there are
     fewer rows; empty inputs give none. The index covers every vector; only the top of the tree is fitted on a sample
-    of ``SAMPLE_ROWS``. Each partition holds about ``part_rows`` vectors; equal vectors that fill more than one
-    partition are split over several by id, all of which the walk visits.
+    of ``SAMPLE_ROWS``. Of equal vectors the k + 1 of smallest id stand for all: no other of them can be an answer. Each
+    partition holds about ``part_rows`` vectors; a fuller one is split by id, and the walk visits all its parts.
     """
     spark = vectors.sparkSession
     project = directions()
@@ -192,13 +192,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
         axis, value = _top_tree(np.stack(sample.to_numpy()).astype(np.float32) if len(sample) else np.zeros((0, DIM), np.float32), parts)
     else:
         axis, value = np.zeros(1, np.int64), np.zeros(1, np.float32)
-    data = cut(_prepared(base, project, axis, value, parts))
+    every = cut(_prepared(base, project, axis, value, parts))
+    # of equal vectors only the k + 1 smallest ids can be answers, as ties go to them
+    place = F.row_number().over(W.partitionBy(F.xxhash64("vector"), F.hash("vector")).orderBy("id"))
+    data = cut(every.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"))
     wide = data.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (2 * part_rows)).cast("int").alias("shares")).where("shares > 1").collect()  # one row a part, at most MOST_PARTS
     of_part = F.create_map(*[F.lit(x) for r in wide for x in (r.part, r.shares)]) if wide else None
     shares = F.lit(1) if of_part is None else F.coalesce(F.element_at(of_part, F.col("part")), F.lit(1))
     data = data.withColumn("share", F.pmod(F.xxhash64("id"), shares).cast("int"))
     low, high = _boxes(axis, value, parts)
-    asked = data.join(queries.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
+    asked = every.join(queries.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
     asked = cut(asked.select("id", "vector", "part"))
     out = "id long, other long, distance double"
 
