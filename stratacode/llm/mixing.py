@@ -28,14 +28,15 @@ def tokenizer(path: str | None = None) -> tuple[str, str]:
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, key, tokens): the length of each text in tokens and a hash of it. Null texts drop out."""
     vocabulary, pattern = tokenizer(path)
+    with open(vocabulary, "rb") as f:
+        words = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, about 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, words.value.splitlines())}
         enc = tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n = [len(enc.encode_ordinary(t)) for t in b.column(4).to_pylist()]
