@@ -144,16 +144,18 @@ def embed(texts: DataFrame, embedder: HashingEmbedder, batch: int = 64) -> DataF
     return texts.select("id", "text").mapInPandas(run, "id long, embedding array<float>")
 
 
-def overview_items(projects: DataFrame, files: DataFrame, functions: DataFrame, classes: DataFrame, most_files: int = 40) -> DataFrame:
-    """(id, name, return_type, code): one item a project for :func:`ask`, its text the summary of its first files by path.
+def overview_items(projects: DataFrame, files: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, name, return_type, code): one item a project for :func:`ask`, its text the summaries of all its files by path.
 
-    An overview is made of a bounded text: ``most_files`` files, each cut to 400 characters.
+    Every file is there with all names of its functions and classes; only its doc is short (see :func:`file_summary`).
+    A project's text is one value and so must fit into one task; at the 120 characters a file of sf0.1 that is 12 MB
+    for 100,000 files.
     """
     summary = file_summary(files, functions, classes)
     place = F.row_number().over(W.partitionBy("project_id").orderBy("file_path", "file_id"))
-    row = F.substring(F.concat(F.coalesce("file_path", F.lit("?")), F.lit(": "), "functions", F.lit("; "), "classes", F.lit("; "), "doc"), 1, 400)
-    few = summary.withColumn("place", place).where(F.col("place") <= most_files).select("project_id", F.struct("place", row.alias("row")).alias("x"))
-    text = few.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), "\n").alias("code"))
+    row = F.concat(F.coalesce("file_path", F.lit("?")), F.lit(": "), "functions", F.lit("; "), "classes", F.lit("; "), "doc")
+    rows = summary.withColumn("place", place).select("project_id", F.struct("place", row.alias("row")).alias("x"))
+    text = rows.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), "\n").alias("code"))
     return projects.select(F.col("id"), F.col("id").alias("project_id"), "name").join(text, "project_id").select("id", "name", F.lit(None).cast("string").alias("return_type"), "code")
 
 

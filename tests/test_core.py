@@ -196,3 +196,13 @@ def test_the_innermost_class(spark):
     cl = spark.createDataFrame([(1, 1, 1, 500), (2, 1, 100, 300), (3, 1, 100, 300), (4, 2, 1, 500), (5, 1, 9, None)], "id long, file_id long, start_line int, end_line int")
     fn = spark.createDataFrame([(1, 1, 150, 160), (2, 1, 290, 310), (3, 3, 1, 2), (4, 1, None, 5), (5, 1, 499, 501)], "id long, file_id long, start_line int, end_line int")
     assert {(r.function_id, r.class_id) for r in topology.enclosing_classes(fn, cl).collect()} == {(1, 2), (2, 1)}
+
+
+def test_an_overview_has_all_files_with_whole_names(spark):
+    fl = spark.createDataFrame([(i, 1, f"src/f{i:03d}.py") for i in range(45)] + [(99, 2, None)], "id long, project_id long, file_path string")
+    names = [f"function_{k}" for k in range(60)]
+    fn = spark.createDataFrame([(k, 44, n, "d" * 300) for k, n in enumerate(names)], "id long, file_id long, name string, docstring string")
+    cl = spark.createDataFrame([(1, 99, "C", None)], "id long, file_id long, name string, docstring string")
+    pr = spark.createDataFrame([(1, "one"), (2, "two")], "id long, name string")
+    got = {r.id: r.code for r in enrich.overview_items(pr, fl, fn, cl).collect()}
+    assert got == {1: "\n".join([*(f"src/f{i:03d}.py: ; ; " for i in range(44)), f"src/f044.py: {', '.join(names)}; ; {'d' * 200}"]), 2: "?: ; C; "}
