@@ -1,8 +1,10 @@
 """Problem 8: evaluation texts that leaked into the corpus.
 
 Every window of ``run`` words of an item has a seed, the rarest of its word n-grams that the corpus holds, by their
-number of occurrences there; a document with the whole window thus holds its seed. A document with a seed is aligned with the seed's item: the longest
-common run of words decides exactly, and a Smith-Waterman alignment scores edited and paraphrased copies.
+number of occurrences there; a document with the whole window thus holds its seed. Edited copies need hold no seed, nor
+any n-gram of the item; they are sought by two bounds on the alignment score that leave out no pair of ``CLOSE`` or more.
+A document so found is aligned with the item: the longest common run of words decides exactly, and a Smith-Waterman
+alignment scores edited and paraphrased copies.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import cut, table
 
 _WORD = re.compile(r"[a-z0-9]+")
-RUN, SEED, ITEM_BLOCK = 13, 5, 2_000
+RUN, SEED, ITEM_BLOCK, CLOSE = 13, 5, 2_000, 0.5
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,6 +73,45 @@ def _hits(wanted: np.ndarray, width: int):
     return run
 
 
+def _close(items: list[tuple[int, np.ndarray]]):
+    """(doc_id, item_id) for each item whose alignment with a document may reach ``CLOSE``; none that does is left out.
+
+    An item of n words then scores n or more: it has n / 2 words or more in common with the document, and as a word of
+    the document brings 2 if the item has it and costs 1 if not, some stretch of the document sums up to n.
+    """
+    ids, lens = np.array([i for i, _ in items], np.int64), np.array([len(w) for _, w in items], np.int64)
+    vocabulary, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for _, w in items)]), return_inverse=True)
+    of = np.split(at, np.cumsum(lens)[:-1])
+    key, times = np.unique(at * len(items) + np.repeat(np.arange(len(items)), lens), return_counts=True)
+    word, item = key // max(1, len(items)), key % max(1, len(items))
+    first = np.searchsorted(word, np.arange(len(vocabulary) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = _Hashes(), np.zeros(len(vocabulary) + 1, bool)
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = np.array([words[x] for x in words_of(text)], dtype=np.uint64)
+                if not len(w) or not len(vocabulary):
+                    continue
+                d = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
+                d = np.where(vocabulary[d] == w, d, len(vocabulary))
+                u, n = np.unique(d[d < len(vocabulary)], return_counts=True)
+                size = first[u + 1] - first[u]
+                entry = np.repeat(first[u] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                common = np.bincount(item[entry], np.minimum(times[entry], np.repeat(n, size)), len(items))
+                for k in np.flatnonzero(2 * common >= lens):
+                    known[of[k]] = True
+                    total = np.cumsum(np.r_[0, np.where(known[d], 2, -1)])
+                    known[of[k]] = False
+                    if (total - np.minimum.accumulate(total)).max() >= lens[k]:
+                        out.append((doc, ids[k]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "item_id"])
+
+    return run
+
+
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int = 1) -> tuple[int, int]:
     """(best local alignment score, longest common run) of two arrays of word hashes."""
     best = longest = 0
@@ -102,14 +143,15 @@ def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_words", "alignment"])
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, seed: int = SEED, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """(doc_id, item_id, run_words, alignment) for each document that holds a seed of an item.
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, seed: int = SEED, item_block: int = ITEM_BLOCK, edited: bool = True) -> DataFrame:
+    """(doc_id, item_id, run_words, alignment) for each document that holds a seed of an item or is close to one.
 
     run_words is the longest run of words in common; every pair with ``run`` or more is there. alignment is the
-    Smith-Waterman score over the most that the item could reach, 1.0 for a whole verbatim copy.
+    Smith-Waterman score over the most that the item could reach, 1.0 for a whole verbatim copy; with ``edited`` every
+    pair with ``CLOSE`` or more is there, however many other copies the corpus holds. Other pairs are those of a seed.
 
     Null and blank texts have no words; an item of fewer than ``run`` words is one window of its own and of fewer than
-    ``seed`` has none. Repeated rows count once, texts are taken whole. The items are worked off in blocks of at most
+    ``seed`` takes no part. Repeated rows count once, texts are taken whole. The items are worked off in blocks of at most
     ``item_block``, so that the seeds sent to the tasks are bounded; the corpus is read once a block.
     """
     spark = documents.sparkSession
@@ -119,9 +161,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, seed: i
     out = None
     for k in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        words, windows = _Hashes(), []
+        words, windows, whole = _Hashes(), [], []
         for r in rows:
-            g = _grams(np.array([words[w] for w in words_of(r.text)], dtype=np.uint64), seed)
+            units = np.array([words[w] for w in words_of(r.text)], dtype=np.uint64)
+            if len(units) >= seed:
+                whole.append((r.item_id, units))
+            g = _grams(units, seed)
             span = max(1, min(run - seed + 1, len(g)))
             windows += [(r.item_id, i, int(x)) for i in range(max(0, len(g) - span + 1)) for x in g[i : i + span]]
         wanted = np.unique(np.array([w[2] for w in windows], dtype=np.int64))
@@ -129,7 +174,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, seed: i
         often = hits.groupBy("gram").agg(F.sum("n").alias("often"))
         window = spark.createDataFrame(pd.DataFrame(windows, columns=["item_id", "at", "gram"]), "item_id long, at int, gram long")
         rare = window.join(often, "gram").groupBy("item_id", "at").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
-        pairs = hits.join(rare.select("item_id", "gram").distinct(), "gram").select("doc_id", "item_id").distinct()
+        pairs = hits.join(rare.select("item_id", "gram").distinct(), "gram").select("doc_id", "item_id")
+        if edited and whole:
+            pairs = pairs.union(docs.mapInArrow(_close(whole), "doc_id long, item_id long"))
+        pairs = pairs.distinct()
         texts = docs.join(pairs, "doc_id").join(tests.withColumnRenamed("text", "task"), "item_id").select("doc_id", "item_id", "text", "task")
         part = texts.mapInPandas(_align, "doc_id long, item_id long, run_words int, alignment double")
         part = part.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("alignment").alias("alignment"))
@@ -139,15 +187,18 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, seed: i
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least 13 consecutive words of an item."""
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where(F.col("run_words") >= RUN).select("doc_id", "item_id")
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=False).where(F.col("run_words") >= RUN).select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per item: documents with a verbatim run, documents with an edited copy only, the best alignment."""
+    """Per item: documents with a verbatim run, documents with an edited copy only, the best alignment.
+
+    Below ``CLOSE`` the best alignment is that of the documents that hold a seed; 0.0 where none does.
+    """
     got = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     per = got.groupBy("item_id").agg(
         F.count_if(F.col("run_words") >= RUN).alias("verbatim_documents"),
-        F.count_if((F.col("run_words") < RUN) & (F.col("alignment") >= 0.5)).alias("edited_documents"),
+        F.count_if((F.col("run_words") < RUN) & (F.col("alignment") >= CLOSE)).alias("edited_documents"),
         F.round(F.max("alignment"), 4).alias("best_alignment"),
     )
     items = table(spark, sf_dir, "eval_items").select("item_id", "task").distinct()

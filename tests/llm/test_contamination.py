@@ -53,3 +53,15 @@ def test_edited_copies_score_high_and_empty_tables_give_none(spark):
     (r,) = leaked_items(docs, items).collect()
     assert r.doc_id == 1 and r.run_words < RUN and r.alignment > 0.8
     assert leaked_items(docs.limit(0), items).count() == 0 and leaked_items(docs, items.limit(0)).count() == 0
+
+
+def test_edited_copies_beside_a_verbatim_one(spark):
+    item = [f"w{k}" for k in range(60)]
+    every = lambda n: " ".join("x" if k % n == n - 1 else w for k, w in enumerate(item))
+    apart = " ".join(f"{w} x" for w in item)  # no two words of the item stand together, and yet half the score
+    texts = [" ".join(item), every(10), every(4), apart, every(2), "y " * 300 + every(10) + " y" * 300]
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], D)
+    items = spark.createDataFrame([(1, " ".join(item), 0), (2, "too short", 0)], I)
+    got = {r.doc_id: (r.run_words, r.alignment) for r in leaked_items(docs, items).collect() if r.alignment >= 0.5}
+    want = {i: smith_waterman(np.array(item), np.array(words_of(t)))[::-1] for i, t in enumerate(texts)}
+    assert got == {i: (n, score / 120) for i, (n, score) in want.items() if score >= 60} and set(got) == {0, 1, 2, 3, 5}
