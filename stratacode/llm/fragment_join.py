@@ -33,6 +33,7 @@ _U = np.uint64
 _BLOCK_TOKENS = 600_000
 _FRAGMENT_TOKENS = 1_500_000
 COPIES = 64
+MEMBERS = 512
 
 
 @dataclass(frozen=True)
@@ -112,7 +113,7 @@ def _sets(field: SetField, scopes: np.ndarray, texts: list[str], words: _WordHas
     return h[first], np.bincount(rec[first], minlength=len(texts))
 
 
-_BLOCK = "block long, tokens_n long, recs binary, fields binary, sizes binary, key_a binary, key_b binary, tokens binary"
+_BLOCK = "block long, tokens_n long, recs binary, fields binary, sizes binary, key_a binary, key_b binary, texts binary, tokens binary"
 
 
 def _build_blocks(fields: dict[int, SetField], block_tokens: int):
@@ -122,15 +123,16 @@ def _build_blocks(fields: dict[int, SetField], block_tokens: int):
         size = 0
 
         def block() -> pa.RecordBatch:
-            recs, codes, ns, ka, kb, toks = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = [[uuid.uuid4().int >> 65], [int(ns.sum())], *([x.tobytes()] for x in (recs, codes, ns, ka, kb, toks))]
-            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.binary()] * 6], strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+            recs, codes, ns, ka, kb, raw, toks = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = [[uuid.uuid4().int >> 65], [int(ns.sum())], *([x.tobytes()] for x in (recs, codes, ns, ka, kb, raw, toks))]
+            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.binary()] * 7], strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in batches:
             code = batch.column("field").to_numpy(zero_copy_only=False)
             scope = batch.column("scope").to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             text = batch.column("text")
+            raw = batch.column("text_key").to_numpy(zero_copy_only=False)
             for c in np.unique(code):
                 rows = np.flatnonzero(code == c)
                 toks, ns = _sets(fields[int(c)], scope[rows], text.take(pa.array(rows)).to_pylist(), words)
@@ -140,7 +142,7 @@ def _build_blocks(fields: dict[int, SetField], block_tokens: int):
                     np.add.at(a, rec, mix(toks))
                     np.add.at(b, rec, mix(toks * _U(0xD6E8FEB86659FD93) + _U(7)))
                 k = ns > 0
-                held.append((ids[rows][k].astype(np.int64), np.full(int(k.sum()), c, np.int8), ns[k].astype(np.int32), a[k], b[k], toks))
+                held.append((ids[rows][k].astype(np.int64), np.full(int(k.sum()), c, np.int8), ns[k].astype(np.int32), a[k], b[k], raw[rows][k].astype(np.int64), toks))
                 size += len(toks)
             if size >= block_tokens:
                 yield block()
@@ -189,7 +191,7 @@ def _survivors(fields: dict[int, SetField]):
         p_of[c], q_of[c] = f.p, f.q
 
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        cols = ["field", "id", "n", "need", "key_a", "key_b", "tokens", "dfs"]
+        cols = ["field", "id", "n", "need", "key_a", "key_b", "text_key", "tokens", "dfs"]
         if not len(blocks) or not len(answers):
             return pd.DataFrame([], columns=cols)
         known = np.concatenate([np.frombuffer(x, _U) for x in answers.tokens])
@@ -210,8 +212,8 @@ def _survivors(fields: dict[int, SetField]):
             toks, df, rec = toks[order].view(np.int64), df[order], rec[order]
             live = np.flatnonzero(keep)
             cuts = np.searchsorted(rec, np.append(live, len(ns)))
-            ids, ka, kb = np.frombuffer(b.recs, np.int64), np.frombuffer(b.key_a, np.int64), np.frombuffer(b.key_b, np.int64)
-            out += [(int(code[r]), ids[r], ns[r], need[r], ka[r], kb[r], toks[i:j], df[i:j]) for r, i, j in zip(live, cuts[:-1], cuts[1:], strict=True)]
+            ids, ka, kb, raw = (np.frombuffer(x, np.int64) for x in (b.recs, b.key_a, b.key_b, b.texts))
+            out += [(int(code[r]), ids[r], ns[r], need[r], ka[r], kb[r], raw[r], toks[i:j], df[i:j]) for r, i, j in zip(live, cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame(out, columns=cols)
 
     return run
@@ -221,15 +223,15 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     """The exact self-join: ``(pairs, classes)``.
 
     ``records``: (field int, scope bigint, id bigint, text string). Sets are compared within a field and scope.
-    ``classes``: (field, class_id, id), one row for each record that shares enough to have a partner at all;
-    records with equal sets have one class, named by its smallest id. ``pairs``: (field, a, b, overlap, n_a, n_b)
+    ``classes``: (field, class_id, id, text_key), one row for each record that shares enough to have a partner at all;
+    records with equal sets have one class, named by its smallest id, and those of equal raw text in it one text_key. ``pairs``: (field, a, b, overlap, n_a, n_b)
     between class ids, a < b, for all pairs of different sets that reach the field's threshold.
 
     Null ids, null or blank texts and texts too short for one n-gram take no part; repeated rows are one record; texts
     of any length are taken whole; ties do not exist, the threshold is inclusive. An empty input gives empty results.
     """
     by_code = {f.code: f for f in fields}
-    clean = records.select(F.col("field").cast("int"), F.coalesce("scope", F.lit(-1)).cast("long").alias("scope"), F.col("id").cast("long"), "text")
+    clean = records.select(F.col("field").cast("int"), F.coalesce("scope", F.lit(-1)).cast("long").alias("scope"), F.col("id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     clean = clean.where(r"id is not null and text is not null and text rlike '\\S'")
     blocks = cut(clean.mapInArrow(_build_blocks(by_code, block_tokens), _BLOCK))
     total = blocks.agg(F.coalesce(F.sum("tokens_n"), F.lit(0))).first()[0]
@@ -240,12 +242,12 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
         .groupBy("fragment")
         .applyInPandas(_count_fragment, "block long, tokens binary, dfs binary")
     )
-    alive = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_survivors(by_code), "field int, id long, n int, need int, key_a long, key_b long, tokens array<long>, dfs array<int>")
+    alive = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_survivors(by_code), "field int, id long, n int, need int, key_a long, key_b long, text_key long, tokens array<long>, dfs array<int>")
     alive = cut(alive)
 
     key = ["field", "key_a", "key_b", "n"]
     least = alive.groupBy(*key).agg(F.min("id").alias("class_id"))
-    classes = cut(alive.select(*key, "id").join(least, key).select("field", "class_id", "id").distinct())
+    classes = cut(alive.select(*key, "id", "text_key").join(least, key).groupBy("field", "class_id", "id").agg(F.min("text_key").alias("text_key")))
     reps = cut(alive.join(least, key).where("id = class_id").select("field", "class_id", "n", "need", "tokens", "dfs").dropDuplicates(["field", "class_id"]))
 
     posting = reps.select("field", "class_id", "n", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("pos", "token"), (F.size("tokens")).alias("shared"))
@@ -271,26 +273,38 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     return cut(pairs.select("field", "a", "b", "overlap", "n_a", "n_b")), classes
 
 
-def expand_pairs(pairs: DataFrame, classes: DataFrame, full: int = COPIES) -> DataFrame:
+def expand_pairs(pairs: DataFrame, classes: DataFrame, full: int = COPIES, most: int = MEMBERS) -> DataFrame:
     """(field, id_a, id_b), id_a < id_b: the pairs between the members of similar classes, and those within a class.
 
-    Of a class of equal sets the ``full`` smallest ids stand in all pairs; each further copy is paired with the class's
-    smallest id only, which together with that id's pairs tells all of its own. No group of copies, however large, is
-    thus multiplied out, and no link between different sets is lost.
+    Only records of equal raw text count as copies: in a class of more than ``full`` members, the ``full`` smallest ids
+    of each text stand in all pairs, and each further copy is paired with its text's smallest id only, which together
+    with that id's pairs tells all of its own. Copies of one text, however many, are thus not multiplied out; different
+    texts of one class all are. Members meet in blocks of about ``most``, so that a class of any size is spread over tasks.
     """
+    ends = ["field", "class_id", "id"]
     sizes = classes.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     many = cut(classes.join(sizes, ["field", "class_id"]))
-    shown, first, further = classes, many.select("field", "class_id", "id"), None
-    if not is_empty(many.where(F.col("members") > full)):
-        place = F.row_number().over(W.partitionBy("field", "class_id").orderBy("id"))
-        large = many.where(F.col("members") > full).withColumn("place", place).where(F.col("place") <= full).select("field", "class_id", "id")
-        first = cut(many.where(F.col("members") <= full).select("field", "class_id", "id").union(large))
-        rest = cut(many.where(F.col("members") > full).select("field", "class_id", "id").join(first.select("field", "id"), ["field", "id"], "left_anti"))
-        shown = classes.join(rest.select("field", "id"), ["field", "id"], "left_anti")
-        further = rest.select("field", F.col("class_id").alias("x"), F.col("id").alias("y"))
-    left = shown.select("field", F.col("class_id").alias("a"), F.col("id").alias("x"))
-    right = shown.select("field", F.col("class_id").alias("b"), F.col("id").alias("y"))
-    across = pairs.select("field", "a", "b").join(left, ["field", "a"]).join(right, ["field", "b"]).select("field", "x", "y")
-    within = first.withColumnRenamed("id", "x").join(first.withColumnRenamed("id", "y"), ["field", "class_id"]).where("x < y").select("field", "x", "y")
-    got = across.union(within) if further is None else across.union(within).union(further)
+    large = many.where(F.col("members") > full)
+    if is_empty(large):
+        left, right = (classes.select("field", F.col("class_id").alias(c), F.col("id").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+        across = pairs.select("field", "a", "b").join(left, ["field", "a"]).join(right, ["field", "b"]).select("field", "x", "y")
+        first = many.select(*ends)
+        within = first.withColumnRenamed("id", "x").join(first.withColumnRenamed("id", "y"), ["field", "class_id"]).where("x < y").select("field", "x", "y")
+        got = across.union(within)
+    else:
+        by_text = W.partitionBy("field", "class_id", "text_key").orderBy("id")
+        placed = cut(large.withColumn("place", F.row_number().over(by_text)).withColumn("first_id", F.first("id").over(by_text)))
+        further = placed.where(F.col("place") > full).select("field", F.col("first_id").alias("x"), F.col("id").alias("y"))
+        shown = classes.join(large.select("field", "class_id").distinct(), ["field", "class_id"], "left_anti").select(*ends).union(placed.where(F.col("place") <= full).select(*ends))
+        blocks = shown.groupBy("field", "class_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+        shown = cut(shown.join(blocks, ["field", "class_id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+        # a class is paired with itself, too; every pair of blocks is a key of its own
+        both = pairs.select("field", "a", "b").union(many.select("field", F.col("class_id").alias("a"), F.col("class_id").alias("b")).distinct())
+        for c in ("a", "b"):
+            both = both.join(blocks.select("field", F.col("class_id").alias(c), F.col("blocks").alias(f"blocks_{c}")), ["field", c])
+        number = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{c}") - 1)).alias(f"block_{c}")
+        both = both.select("field", "a", "b", "blocks_b", number("a")).select("field", "a", "b", "block_a", number("b"))
+        left, right = (shown.select("field", F.col("class_id").alias(c), F.col("block").alias(f"block_{c}"), F.col("id").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+        met = both.join(left, ["field", "a", "block_a"]).join(right, ["field", "b", "block_b"])
+        got = met.where("a <> b or x < y").select("field", "x", "y").union(further)
     return got.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -94,3 +94,18 @@ def test_many_copies_cost_one_class(spark):
     got = {(r.id_a, r.id_b) for r in expand_pairs(pairs, classes, full=10).collect()}
     want = {(i, j) for i in range(10) for j in range(i + 1, 10)} | {(0, i) for i in range(10, 300)} | {(i, 1000) for i in range(10)}
     assert got == want
+
+
+@pytest.mark.parametrize("full,most", [(64, 512), (2, 7)])
+def test_a_large_class_of_different_texts_is_paired_whole(spark, full, most):
+    words = [f"x{k}" for k in range(40)]
+    rows = [(0, 0, i, (" " * (i // 4 + 1)).join(words)) for i in range(100)]  # 25 layouts, each of four rows
+    rows += [(0, 0, 200 + i, ("; " * (i + 1)).join([*words, "y", "z"])) for i in range(70)]
+    rows += [(2, 0, i, f"https://host{i}.example/owner/repository") for i in range(70)]
+    pairs, classes = similar_sets(spark.createDataFrame(rows, SCHEMA), FIELDS)
+    found = [(FIELDS[r.field].name, r.id_a, r.id_b) for r in expand_pairs(pairs, classes, full, most).collect()]
+    copy = lambda f, i: f == "code_snippet" and i < 100 and i % 4 >= full
+    want = {p for p in brute(rows) if not copy(p[0], p[1]) and not copy(p[0], p[2])} | {("code_snippet", i - i % 4, i) for i in range(100) if copy("code_snippet", i)}
+    assert len(found) == len(set(found)) and set(found) == want
+    if full == 64:
+        assert want == brute(rows)
