@@ -9,9 +9,10 @@ first, and it is cut into fragments twice:
 2. A record with fewer shared n-grams than the threshold demands leaves here. The others are collapsed to one
    representative per set, and a pair of representatives is a candidate if the rare ends of both orders meet and the
    length and position bounds hold. Its overlap is then counted per fragment of the frequency order (cut at powers
-   of two) and summed over the fragments.
+   of two) and summed over the fragments. An n-gram that very many representatives keep as one of their rarest meets
+   itself in pairs of blocks of ``HOLDERS``, each a key of its own.
 
-The result is exact up to collisions of 64-bit n-gram hashes; nothing is capped or sampled.
+The tasks are bounded by n-grams, ``_TASK_TOKENS``, and so grow in number with the input, not in size. The result is exact up to collisions of 64-bit n-gram hashes; nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut, is_empty
+from ..session import cut, parts
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 _U = np.uint64
-_BLOCK_TOKENS = 600_000
+_BLOCK_TOKENS = 300_000
 _FRAGMENT_TOKENS = 1_500_000
-COPIES = 64
+_TASK_TOKENS = 400_000
 MEMBERS = 512
+HOLDERS = 2_000
 
 
 @dataclass(frozen=True)
@@ -113,7 +115,7 @@ def _sets(field: SetField, scopes: np.ndarray, texts: list[str], words: _WordHas
     return h[first], np.bincount(rec[first], minlength=len(texts))
 
 
-_BLOCK = "block long, tokens_n long, recs binary, fields binary, sizes binary, key_a binary, key_b binary, texts binary, tokens binary"
+_BLOCK = "block long, tokens_n long, recs binary, fields binary, sizes binary, key_a binary, key_b binary, tokens binary"
 
 
 def _build_blocks(fields: dict[int, SetField], block_tokens: int):
@@ -123,16 +125,15 @@ def _build_blocks(fields: dict[int, SetField], block_tokens: int):
         size = 0
 
         def block() -> pa.RecordBatch:
-            recs, codes, ns, ka, kb, raw, toks = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = [[uuid.uuid4().int >> 65], [int(ns.sum())], *([x.tobytes()] for x in (recs, codes, ns, ka, kb, raw, toks))]
-            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.binary()] * 7], strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+            recs, codes, ns, ka, kb, toks = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = [[uuid.uuid4().int >> 65], [int(ns.sum())], *([x.tobytes()] for x in (recs, codes, ns, ka, kb, toks))]
+            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.binary()] * 6], strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in batches:
             code = batch.column("field").to_numpy(zero_copy_only=False)
             scope = batch.column("scope").to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             text = batch.column("text")
-            raw = batch.column("text_key").to_numpy(zero_copy_only=False)
             for c in np.unique(code):
                 rows = np.flatnonzero(code == c)
                 toks, ns = _sets(fields[int(c)], scope[rows], text.take(pa.array(rows)).to_pylist(), words)
@@ -142,7 +143,7 @@ def _build_blocks(fields: dict[int, SetField], block_tokens: int):
                     np.add.at(a, rec, mix(toks))
                     np.add.at(b, rec, mix(toks * _U(0xD6E8FEB86659FD93) + _U(7)))
                 k = ns > 0
-                held.append((ids[rows][k].astype(np.int64), np.full(int(k.sum()), c, np.int8), ns[k].astype(np.int32), a[k], b[k], raw[rows][k].astype(np.int64), toks))
+                held.append((ids[rows][k].astype(np.int64), np.full(int(k.sum()), c, np.int8), ns[k].astype(np.int32), a[k], b[k], toks))
                 size += len(toks)
             if size >= block_tokens:
                 yield block()
@@ -191,7 +192,7 @@ def _survivors(fields: dict[int, SetField]):
         p_of[c], q_of[c] = f.p, f.q
 
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        cols = ["field", "id", "n", "need", "key_a", "key_b", "text_key", "tokens", "dfs"]
+        cols = ["field", "id", "n", "need", "key_a", "key_b", "tokens", "dfs"]
         if not len(blocks) or not len(answers):
             return pd.DataFrame([], columns=cols)
         known = np.concatenate([np.frombuffer(x, _U) for x in answers.tokens])
@@ -212,99 +213,89 @@ def _survivors(fields: dict[int, SetField]):
             toks, df, rec = toks[order].view(np.int64), df[order], rec[order]
             live = np.flatnonzero(keep)
             cuts = np.searchsorted(rec, np.append(live, len(ns)))
-            ids, ka, kb, raw = (np.frombuffer(x, np.int64) for x in (b.recs, b.key_a, b.key_b, b.texts))
-            out += [(int(code[r]), ids[r], ns[r], need[r], ka[r], kb[r], raw[r], toks[i:j], df[i:j]) for r, i, j in zip(live, cuts[:-1], cuts[1:], strict=True)]
+            ids, ka, kb = (np.frombuffer(x, np.int64) for x in (b.recs, b.key_a, b.key_b))
+            out += [(int(code[r]), ids[r], ns[r], need[r], ka[r], kb[r], toks[i:j], df[i:j]) for r, i, j in zip(live, cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame(out, columns=cols)
 
     return run
 
 
-def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int = _BLOCK_TOKENS, fragment_tokens: int = _FRAGMENT_TOKENS) -> tuple[DataFrame, DataFrame]:
+def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int = _BLOCK_TOKENS, fragment_tokens: int = _FRAGMENT_TOKENS, holders: int = HOLDERS) -> tuple[DataFrame, DataFrame]:
     """The exact self-join: ``(pairs, classes)``.
 
     ``records``: (field int, scope bigint, id bigint, text string). Sets are compared within a field and scope.
-    ``classes``: (field, class_id, id, text_key), one row for each record that shares enough to have a partner at all;
-    records with equal sets have one class, named by its smallest id, and those of equal raw text in it one text_key. ``pairs``: (field, a, b, overlap, n_a, n_b)
-    between class ids, a < b, for all pairs of different sets that reach the field's threshold.
+    ``classes``: (field, class_id, id), one row for each record that shares enough to have a partner at all; records
+    with equal sets have one class, named by its smallest id. ``pairs``: (field, a, b, overlap, n_a, n_b) between class
+    ids, a < b, for all pairs of different sets that reach the field's threshold.
 
     Null ids, null or blank texts and texts too short for one n-gram take no part; repeated rows are one record; texts
     of any length are taken whole; ties do not exist, the threshold is inclusive. An empty input gives empty results.
     """
     by_code = {f.code: f for f in fields}
-    clean = records.select(F.col("field").cast("int"), F.coalesce("scope", F.lit(-1)).cast("long").alias("scope"), F.col("id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    clean = records.select(F.col("field").cast("int"), F.coalesce("scope", F.lit(-1)).cast("long").alias("scope"), F.col("id").cast("long"), "text")
     clean = clean.where(r"id is not null and text is not null and text rlike '\\S'")
     blocks = cut(clean.mapInArrow(_build_blocks(by_code, block_tokens), _BLOCK))
     total = blocks.agg(F.coalesce(F.sum("tokens_n"), F.lit(0))).first()[0]
     n_fragments = max(8, -(-total // fragment_tokens))
+    n = max(parts(records.sparkSession), -(-total // _TASK_TOKENS))
     answers = (
         blocks.select("block", "tokens")
         .mapInArrow(_to_fragments(n_fragments), "fragment int, block long, tokens binary, counts binary")
+        .repartition(n_fragments, "fragment")
         .groupBy("fragment")
         .applyInPandas(_count_fragment, "block long, tokens binary, dfs binary")
     )
-    alive = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_survivors(by_code), "field int, id long, n int, need int, key_a long, key_b long, text_key long, tokens array<long>, dfs array<int>")
+    alive = blocks.repartition(n, "block").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInPandas(_survivors(by_code), "field int, id long, n int, need int, key_a long, key_b long, tokens array<long>, dfs array<int>")
     alive = cut(alive)
 
     key = ["field", "key_a", "key_b", "n"]
     least = alive.groupBy(*key).agg(F.min("id").alias("class_id"))
-    classes = cut(alive.select(*key, "id", "text_key").join(least, key).groupBy("field", "class_id", "id").agg(F.min("text_key").alias("text_key")))
+    classes = cut(alive.select(*key, "id").join(least, key).select("field", "class_id", "id").distinct())
     reps = cut(alive.join(least, key).where("id = class_id").select("field", "class_id", "n", "need", "tokens", "dfs").dropDuplicates(["field", "class_id"]))
 
     posting = reps.select("field", "class_id", "n", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("pos", "token"), (F.size("tokens")).alias("shared"))
     posting = posting.select("field", "class_id", "n", "token", (F.col("shared") - F.col("pos")).alias("rest"))
+    hot = posting.groupBy("field", "token").agg(F.ceil(F.count(F.lit(1)) / holders).cast("int").alias("cuts")).where("cuts > 1")
+    posting = posting.join(hot, ["field", "token"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("class_id"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     p, q = (F.element_at(F.create_map(*[F.lit(x) for f in fields for x in (f.code, getattr(f, w))]), F.col("field")) for w in ("p", "q"))
-    a = posting.select("field", "token", *[F.col(c).alias(f"{c}_a") for c in ("class_id", "n", "rest")])
-    b = posting.select("field", "token", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "n", "rest")])
+    a = posting.select("field", "token", own.alias("cut_a"), other.alias("cut_b"), *[F.col(c).alias(f"{c}_a") for c in ("class_id", "n", "rest")])
+    b = posting.select("field", "token", own.alias("cut_b"), other.alias("cut_a"), *[F.col(c).alias(f"{c}_b") for c in ("class_id", "n", "rest")])
     enough = (p + q) * F.least("rest_a", "rest_b") >= p * (F.col("n_a") + F.col("n_b"))
     near = q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")
-    candidates = a.join(b, ["field", "token"]).where((F.col("class_id_a") < F.col("class_id_b")) & near & enough).select("field", F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "n_a", "n_b").distinct()
-
-    cut_at = F.floor(F.log2(F.element_at("dfs", F.col("i") + 1))).cast("int")
-    segment = (
-        reps.select("field", "class_id", F.posexplode("tokens").alias("i", "token"), "dfs")
-        .groupBy("field", "class_id", cut_at.alias("fragment"))
-        .agg(F.collect_list("token").alias("segment"))
-    )
+    met = a.join(b, ["field", "token", "cut_a", "cut_b"]).where((F.col("class_id_a") < F.col("class_id_b")) & near & enough)
+    candidates = met.select("field", F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "n_a", "n_b").distinct()
+
+    # the n-grams of a record are sorted by frequency, so a fragment's are a slice
+    level = F.transform("dfs", lambda d: F.floor(F.log2(d)).cast("int"))
+    cuts = reps.select("field", "class_id", "tokens", level.alias("levels")).select("field", "class_id", "tokens", "levels", F.explode(F.array_distinct("levels")).alias("fragment"))
+    long = F.size(F.filter("levels", lambda x: x == F.col("fragment")))
+    segment = cuts.select("field", "class_id", "fragment", F.slice("tokens", F.array_position("levels", F.col("fragment")).cast("int"), long).alias("segment"))
     seg_a = segment.select("field", F.col("class_id").alias("a"), "fragment", F.col("segment").alias("segment_a"))
     seg_b = segment.select("field", F.col("class_id").alias("b"), "fragment", F.col("segment").alias("segment_b"))
-    partial = candidates.join(seg_a, ["field", "a"]).join(seg_b, ["field", "b", "fragment"])
+    partial = candidates.repartition(n, "field", "a").join(seg_a.repartition(n, "field", "a"), ["field", "a"])
+    partial = partial.repartition(n, "field", "b", "fragment").join(seg_b.repartition(n, "field", "b", "fragment"), ["field", "b", "fragment"])
     partial = partial.select("field", "a", "b", "n_a", "n_b", F.size(F.array_intersect("segment_a", "segment_b")).alias("part"))
     pairs = partial.groupBy("field", "a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap")).where((p + q) * F.col("overlap") >= p * (F.col("n_a") + F.col("n_b")))
     return cut(pairs.select("field", "a", "b", "overlap", "n_a", "n_b")), classes
 
 
-def expand_pairs(pairs: DataFrame, classes: DataFrame, full: int = COPIES, most: int = MEMBERS) -> DataFrame:
-    """(field, id_a, id_b), id_a < id_b: the pairs between the members of similar classes, and those within a class.
+def expand_pairs(pairs: DataFrame, classes: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """(field, id_a, id_b), id_a < id_b: every pair between the members of similar classes and within a class.
 
-    Only records of equal raw text count as copies: in a class of more than ``full`` members, the ``full`` smallest ids
-    of each text stand in all pairs, and each further copy is paired with its text's smallest id only, which together
-    with that id's pairs tells all of its own. Copies of one text, however many, are thus not multiplied out; different
-    texts of one class all are. Members meet in blocks of about ``most``, so that a class of any size is spread over tasks.
+    Members meet in pairs of blocks of about ``most``, each a key of its own, so that no task holds a whole class. The
+    result is as long as its definition makes it, quadratic in the members of a class; where a class may be large,
+    ``pairs`` and ``classes`` themselves tell the same in a row a record.
     """
-    ends = ["field", "class_id", "id"]
-    sizes = classes.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    many = cut(classes.join(sizes, ["field", "class_id"]))
-    large = many.where(F.col("members") > full)
-    if is_empty(large):
-        left, right = (classes.select("field", F.col("class_id").alias(c), F.col("id").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-        across = pairs.select("field", "a", "b").join(left, ["field", "a"]).join(right, ["field", "b"]).select("field", "x", "y")
-        first = many.select(*ends)
-        within = first.withColumnRenamed("id", "x").join(first.withColumnRenamed("id", "y"), ["field", "class_id"]).where("x < y").select("field", "x", "y")
-        got = across.union(within)
-    else:
-        by_text = W.partitionBy("field", "class_id", "text_key").orderBy("id")
-        placed = cut(large.withColumn("place", F.row_number().over(by_text)).withColumn("first_id", F.first("id").over(by_text)))
-        further = placed.where(F.col("place") > full).select("field", F.col("first_id").alias("x"), F.col("id").alias("y"))
-        shown = classes.join(large.select("field", "class_id").distinct(), ["field", "class_id"], "left_anti").select(*ends).union(placed.where(F.col("place") <= full).select(*ends))
-        blocks = shown.groupBy("field", "class_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
-        shown = cut(shown.join(blocks, ["field", "class_id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-        # a class is paired with itself, too; every pair of blocks is a key of its own
-        both = pairs.select("field", "a", "b").union(many.select("field", F.col("class_id").alias("a"), F.col("class_id").alias("b")).distinct())
-        for c in ("a", "b"):
-            both = both.join(blocks.select("field", F.col("class_id").alias(c), F.col("blocks").alias(f"blocks_{c}")), ["field", c])
-        number = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{c}") - 1)).alias(f"block_{c}")
-        both = both.select("field", "a", "b", "blocks_b", number("a")).select("field", "a", "b", "block_a", number("b"))
-        left, right = (shown.select("field", F.col("class_id").alias(c), F.col("block").alias(f"block_{c}"), F.col("id").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-        met = both.join(left, ["field", "a", "block_a"]).join(right, ["field", "b", "block_b"])
-        got = met.where("a <> b or x < y").select("field", "x", "y").union(further)
-    return got.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    sizes = classes.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("members"))
+    both = pairs.select("field", "a", "b").union(sizes.where("members > 1").select("field", F.col("class_id").alias("a"), F.col("class_id").alias("b")))
+    large = cut(sizes.where(F.col("members") > most).select("field", "class_id", F.ceil(F.col("members") / most).cast("int").alias("blocks")))
+    shown = classes.join(large, ["field", "class_id"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    shown = shown.select("field", "class_id", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    for c in ("a", "b"):
+        both = both.join(large.select("field", F.col("class_id").alias(c), F.col("blocks").alias(f"blocks_{c}")), ["field", c], "left")
+    number = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(f"blocks_{c}", F.lit(1)) - 1)).alias(f"block_{c}")
+    both = both.select("field", "a", "b", "blocks_b", number("a")).select("field", "a", "b", "block_a", number("b"))
+    left, right = (shown.select("field", F.col("class_id").alias(c), F.col("block").alias(f"block_{c}"), F.col("id").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    met = both.join(left, ["field", "a", "block_a"]).join(right, ["field", "b", "block_b"]).where("x <> y and (a <> b or x < y)")
+    return met.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

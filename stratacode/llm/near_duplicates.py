@@ -46,15 +46,16 @@ def near_duplicate_groups(source: DataFrame) -> DataFrame:
     """(field_name, id, class_id, group_id, links): one row per record that has a near-duplicate.
 
     class_id names the records with an equal set, group_id the smallest id reached over links, links the number of
-    other classes the record's class is linked to. Copies are not expanded into pairs.
+    other classes the record's class is linked to. Copies are not expanded into pairs, so a class of any size costs a
+    row a record. Ids may be any 64-bit numbers: nodes are (field, id).
     """
     pairs, classes = similar_sets(source, FIELDS)
-    key = lambda c: (F.col(c) * 4 + F.col("field")).alias
-    comp = connected_components(pairs.select(key("a")("u"), key("b")("v")))
+    node = lambda c: F.struct("field", F.col(c).alias("id"))
+    comp = connected_components(pairs.select(node("a").alias("u"), node("b").alias("v")))
     ends = pairs.select("field", F.col("a").alias("class_id")).unionAll(pairs.select("field", F.col("b").alias("class_id")))
     links = ends.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("links"))
     size = classes.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("members"))
-    group = comp.select(F.pmod("node", F.lit(4)).cast("int").alias("field"), F.floor(F.col("node") / 4).alias("class_id"), F.floor(F.col("component") / 4).alias("group_id"))
+    group = comp.select("node.field", F.col("node.id").alias("class_id"), F.col("component.id").alias("group_id"))
     known = size.join(links, ["field", "class_id"], "left").join(group, ["field", "class_id"], "left").where("members > 1 or links is not null")
     out = classes.join(known, ["field", "class_id"])
     return _named(out).select("field_name", "id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

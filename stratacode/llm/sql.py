@@ -18,13 +18,24 @@ def _sets(t: str, grams: str) -> str:
 
 
 _CHARS = "list_transform(range(1, greatest(1, length({0}) - 1)), lambda i: substr({0}, i, 3))"
-_P1 = f"""WITH w AS (SELECT DISTINCT id, list_transform(regexp_extract_all(code_snippet, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM functions WHERE code_snippet IS NOT NULL),
+_SETS = f"""w AS (SELECT DISTINCT id, list_transform(regexp_extract_all(code_snippet, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM functions WHERE code_snippet IS NOT NULL),
 u AS (SELECT DISTINCT id, regexp_replace(regexp_replace(lower(trim(repo_url)), '/+$', ''), '\\.git$', '') AS s FROM projects WHERE trim(repo_url) <> ''),
 k AS (SELECT id, array_to_string(list_slice(string_split_regex(s, '[/:]'), -2, -1), '/') AS s FROM u),
 {_sets('code', "SELECT id, 0 AS scope, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS grams FROM w WHERE len(w) >= 30")},
 {_sets('path', f"SELECT id, project_id AS scope, {_CHARS.format('lower(file_path)')} AS grams FROM files WHERE project_id IS NOT NULL")},
 {_sets('repo', f"SELECT id, 0 AS scope, {_CHARS.format('s')} AS grams FROM k")}
-""" + " UNION ALL ".join(_PAIRS.format(name=n, t=t, p=p, q=q) for n, t, p, q in (("code_snippet", "code", 1, 2), ("file_path", "path", 3, 4), ("repo_url", "repo", 3, 5)))
+"""
+_PARTS = (("code_snippet", "code", 1, 2), ("file_path", "path", 3, 4), ("repo_url", "repo", 3, 5))
+_P1 = "WITH " + _SETS + " UNION ALL ".join(_PAIRS.format(name=n, t=t, p=p, q=q) for n, t, p, q in _PARTS)
+# a class is a set of n-grams; the group is what its links reach
+_P1_GROUPS = f"""WITH RECURSIVE {_SETS}, pairs AS MATERIALIZED ({" UNION ALL ".join(_PAIRS.format(name=n, t=t, p=p, q=q) for n, t, p, q in _PARTS)}),
+sets AS ({" UNION ALL ".join(f"SELECT '{n}' AS field_name, scope, id, list_sort(list(gram)) AS grams FROM {t}_g GROUP BY 2, 3" for n, t, _, _ in _PARTS)}),
+c AS MATERIALIZED (SELECT field_name, id, min(id) OVER (PARTITION BY field_name, scope, grams) AS class_id FROM sets),
+e AS (SELECT field_name, id_a AS a, id_b AS b FROM pairs UNION ALL SELECT field_name, id_b, id_a FROM pairs),
+r AS (SELECT DISTINCT field_name, a AS node, a AS to_id FROM e UNION SELECT r.field_name, r.node, e.b FROM r JOIN e ON e.field_name = r.field_name AND e.a = r.to_id),
+g AS (SELECT field_name, node AS id, min(to_id) AS group_id FROM r GROUP BY 1, 2),
+l AS (SELECT x.field_name, x.class_id, count(DISTINCT y.class_id) AS links FROM e JOIN c x ON x.field_name = e.field_name AND x.id = e.a JOIN c y ON y.field_name = e.field_name AND y.id = e.b WHERE x.class_id <> y.class_id GROUP BY 1, 2)
+SELECT c.field_name, c.id, c.class_id, g.group_id, coalesce(l.links, 0) AS links FROM c JOIN g ON g.field_name = c.field_name AND g.id = c.id LEFT JOIN l ON l.field_name = c.field_name AND l.class_id = c.class_id"""
 
 _P3 = """WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM functions WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 s AS (SELECT q.id, v.id AS other, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.id) AS place FROM v q JOIN v ON v.id <> q.id WHERE q.id IN (SELECT function_id FROM embedding_probes) QUALIFY place <= 10)
@@ -47,4 +58,4 @@ SELECT DISTINCT id AS file_id FROM j WHERE {named.format('p')} OR {named.format(
  OR (size >= {SCRIPT_BYTES} AND regexp_matches(lower(p), '\\.(js|mjs|cjs)$')) OR (NOT has AND size >= {PACKED_BYTES} AND string_split(lower(p), '/')[-2] IN ({folders}) AND regexp_matches(p, {quoted(_DATA_NAME.pattern)}))"""
 
 
-ORACLE_SQL: dict[str, str] = {"p1_found": _P1, "p3_found": _P3, "p4_found": _p4(), "p8_found": _P8}
+ORACLE_SQL: dict[str, str] = {"p1_found": _P1, "p1_groups": _P1_GROUPS, "p3_found": _P3, "p4_found": _p4(), "p8_found": _P8}

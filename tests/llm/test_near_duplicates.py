@@ -86,26 +86,41 @@ def test_the_tables_and_their_edges(spark):
     assert near_duplicate_pairs(records(fn.limit(0), fl.limit(0), pr.limit(0))).count() == 0
 
 
-def test_many_copies_cost_one_class(spark):
+def test_many_copies_are_one_class_and_all_paired(spark):
     code = " ".join(f"x{k}" for k in range(40))
-    rows = [(0, 0, i, code) for i in range(300)] + [(0, 0, 1000, code + " y z")]
+    rows = [(0, 0, i, code) for i in range(70)] + [(0, 0, 1000, code + " y z")]
     pairs, classes = similar_sets(spark.createDataFrame(rows, SCHEMA), FIELDS, 2000, 500)
-    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1000)] and classes.count() == 301
-    got = {(r.id_a, r.id_b) for r in expand_pairs(pairs, classes, full=10).collect()}
-    want = {(i, j) for i in range(10) for j in range(i + 1, 10)} | {(0, i) for i in range(10, 300)} | {(i, 1000) for i in range(10)}
-    assert got == want
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1000)] and classes.count() == 71
+    for most in (512, 16):
+        got = [(r.id_a, r.id_b) for r in expand_pairs(pairs, classes, most).collect()]
+        assert len(got) == len(set(got)) == 71 * 70 // 2
+    groups = near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.class_id, r.group_id, r.links) for r in groups} == {(0, 0, 1), (1000, 0, 1)} and len(groups) == 71
 
 
-@pytest.mark.parametrize("full,most", [(64, 512), (2, 7)])
-def test_a_large_class_of_different_texts_is_paired_whole(spark, full, most):
+@pytest.mark.parametrize("most,holders", [(512, 2000), (7, 5)])
+def test_large_classes_and_hot_ngrams_are_paired_whole(spark, most, holders):
     words = [f"x{k}" for k in range(40)]
-    rows = [(0, 0, i, (" " * (i // 4 + 1)).join(words)) for i in range(100)]  # 25 layouts, each of four rows
-    rows += [(0, 0, 200 + i, ("; " * (i + 1)).join([*words, "y", "z"])) for i in range(70)]
-    rows += [(2, 0, i, f"https://host{i}.example/owner/repository") for i in range(70)]
+    rows = [(0, 0, i, (" " * (i // 4 + 1)).join(words)) for i in range(100)]
+    rows += [(0, 0, 200 + i, " ".join([*words, f"y{i}", f"z{i}"])) for i in range(70)]
+    rows += [(2, 0, i, f"https://host{i}.example/owner/repository{i % 9}") for i in range(70)]
+    pairs, classes = similar_sets(spark.createDataFrame(rows, SCHEMA), FIELDS, holders=holders)
+    found = [(FIELDS[r.field].name, r.id_a, r.id_b) for r in expand_pairs(pairs, classes, most).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(rows)
+
+
+@pytest.mark.parametrize("base", [2**61, -(2**62), 2**58 + 1])
+def test_groups_of_hashed_ids(spark, base):
+    code = [f"x{k}" for k in range(40)]
+    rows = [(0, 0, base + i, " ".join(code + ["y"] * (i % 3))) for i in range(3)] + [(1, 0, base + i, f"src/a/quite_long_file_name{i}.py") for i in range(2)]
+    got = {(r.field_name, r.id): (r.class_id, r.group_id) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: base for k in got} and len(got) == 5
     pairs, classes = similar_sets(spark.createDataFrame(rows, SCHEMA), FIELDS)
-    found = [(FIELDS[r.field].name, r.id_a, r.id_b) for r in expand_pairs(pairs, classes, full, most).collect()]
-    copy = lambda f, i: f == "code_snippet" and i < 100 and i % 4 >= full
-    want = {p for p in brute(rows) if not copy(p[0], p[1]) and not copy(p[0], p[2])} | {("code_snippet", i - i % 4, i) for i in range(100) if copy("code_snippet", i)}
-    assert len(found) == len(set(found)) and set(found) == want
-    if full == 64:
-        assert want == brute(rows)
+    assert expand_pairs(pairs, classes).count() == 4
+
+
+def test_an_id_with_two_texts_is_no_pair_of_its_own(spark):
+    code = " ".join(f"x{k}" for k in range(40))
+    rows = [(0, 0, 1, code), (0, 0, 1, code + " y"), (0, 0, 2, code)]
+    got = {tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {("code_snippet", 1, 2)}
