@@ -21,7 +21,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges(u bigint, v bigint)``; the component is the smallest node in it.
+    """(node, component) for every node of ``edges(u, v)``, of any type with an order; the component is the smallest node in it.
 
     Null ends and loops are ignored; repeated edges count once; no edges give no rows. Each round is two
     aggregations over the edge list, the rounds grow with the logarithm of the longest chain, and the edges between
