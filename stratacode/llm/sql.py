@@ -1,13 +1,11 @@
 """SQL that must agree with the queries of this subpackage, where SQL can say them over whole tables.
 
 Each says the definition directly (all pairs that share an n-gram, all cosines of a probe, all windows of 13 words), not
-the operator's method. The patterns of p4 are its own, so there only their use is compared.
+the operator's method, and imports nothing of it. That of p4 writes the conventions, the shape and the mining anew.
 """
 
 from __future__ import annotations
 
-from .handwritten import _DATA_NAME, DATA_BYTES, DATA_FOLDERS, LONG_LINE, MINED, PACKED_BYTES, SCRIPT_BYTES, Rules
-
 _PAIRS = """SELECT '{name}' AS field_name, a.id AS id_a, b.id AS id_b FROM {t}_n a JOIN {t}_n b ON a.scope = b.scope AND a.id < b.id JOIN
  (SELECT x.id AS p, y.id AS q, count(*) AS n FROM {t}_g x JOIN {t}_g y ON x.scope = y.scope AND x.gram = y.gram AND x.id < y.id GROUP BY 1, 2) c ON c.p = a.id AND c.q = b.id
  WHERE c.n * ({p} + {q}) >= {p} * (a.n + b.n)"""
@@ -47,15 +45,29 @@ ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(1, len(w
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
 
-def _p4() -> str:
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    named = "(" + " OR ".join(f"regexp_full_match({{0}}, {quoted(p.pattern)})" for p, _ in Rules([("", MINED)]).lines) + ")"
-    folders = ", ".join(quoted(f) for f in DATA_FOLDERS)
-    return f"""WITH f AS (SELECT DISTINCT id, coalesce(size_bytes, 0) AS size, array_to_string(list_filter(string_split(replace(coalesce(file_path, ''), '\\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM files),
-s AS (SELECT file_id, max(list_max(list_transform(string_split(coalesce(code_snippet, ''), chr(10)), lambda x: length(x)))) AS longest FROM functions GROUP BY 1),
-j AS (SELECT f.*, s.longest, s.file_id IS NOT NULL AS has FROM f LEFT JOIN s ON s.file_id = f.id)
-SELECT DISTINCT id AS file_id FROM j WHERE {named.format('p')} OR {named.format('lower(p)')} OR (longest >= {LONG_LINE} AND size >= {PACKED_BYTES}) OR size >= {DATA_BYTES}
- OR (size >= {SCRIPT_BYTES} AND regexp_matches(lower(p), '\\.(js|mjs|cjs)$')) OR (NOT has AND size >= {PACKED_BYTES} AND string_split(lower(p), '/')[-2] IN ({folders}) AND regexp_matches(p, {quoted(_DATA_NAME.pattern)}))"""
+_VENDORED = r"""(.*/)?(node_modules|bower_components|jspm_packages|site-packages|dist-packages|Godeps/_workspace|\.cargo/registry|Carthage/Checkouts|Pods|webjars|shaded/org|_vendor|_vendored|[^/]*-vendored|[^/]*-[0-9][^/]*-sources)/.+
+|(.*/)?(vendor|vendors|third_party|third-party|thirdparty|3rdparty|3rd-party|extern)/[^/]*/.+|(shaded|external|externals|deps)/[^/]*/.+|public/lib/[^/]*-[0-9][^/]*/.+|libs/src-attach/.+"""
+_GENERATED = r"""(.*/)?[^/]*(\.min\.[mc]?js|-min\.js|\.(pack|umd|prod|bundle|[0-9a-f]{8})\.js|\.(generated|gen)\.[^/]*|\.g\.dart|\.designer\.cs|_autogen\.[^/]*|\.pb\.(go|gw\.go|cc|h)|_pb\.(js|d\.ts)|_pb2\.pyi?|_pb2_grpc\.py|OuterClass\.java|Grpc\.java|MapperImpl\.java|_gen\.go|_[^/]*_string\.go|_rc\.py)
+|(.*/)?(bindata_[^/]*\.go|zz_generated[^/]*|(parsetab|lextab)[^/]*\.py|moc_[^/]*\.cpp|mock_[^/]*/mocks\.go|out/bindings_[^/]*\.rs)
+|(.*/)?(__generated__|_generated|generated|generated-sources|generated-types|openapi-client|swagger-client|target/gen|target/[^/]*/build)/.+"""
+_JUDGED = f"""f AS (SELECT id, project_id, file_path, coalesce(size_bytes, 0) AS size, array_to_string(list_filter(string_split(replace(file_path, '\\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM files),
+s AS (SELECT file_id, max(list_max(list_transform(string_split(coalesce(code_snippet, ''), chr(10)), lambda x: length(x)))) AS longest, count(code_snippet) AS n FROM functions GROUP BY 1),
+j AS (SELECT f.*, coalesce(s.n, 0) > 0 OR size >= 262144 AS shown, CASE WHEN {' OR '.join(f"regexp_full_match({x}, '{_GENERATED.replace(chr(10), '')}')" for x in ('p', 'lower(p)'))} THEN 'generated'
+ WHEN {' OR '.join(f"regexp_full_match({x}, '{_VENDORED.replace(chr(10), '')}')" for x in ('p', 'lower(p)'))} THEN 'vendored' WHEN s.longest >= 1000 THEN 'compressed' WHEN size >= 262144 THEN 'data' END AS kind FROM f LEFT JOIN s ON s.file_id = f.id),
+w AS (SELECT j.*, string_split(lower(p), '/') AS parts, regexp_extract(lower(p), '[^/]*$') AS base FROM j WHERE file_path IS NOT NULL),
+x AS (SELECT w.*, regexp_extract(base, '^(.*?)(\\.[^.]*)?$', 1) AS stem, regexp_extract(base, '\\.[^.]*$') AS ext FROM w),
+g AS (SELECT id, file_path, project_id, kind, shown, unnest(list_distinct(list_filter(list_concat(list_transform(parts[:-2], lambda y: 'folder ' || y), [nullif('ending ' || regexp_replace(regexp_extract(base, '\\..*$'), '[0-9a-f]{{8,}}', '#', 'g'), 'ending '),
+ CASE WHEN regexp_matches(stem, '^[^_.-]+[_-]') THEN 'first ' || regexp_extract(stem, '^[^_.-]+') || ext END, CASE WHEN regexp_matches(stem, '[_-][^_.-]+$') THEN 'last ' || regexp_extract(stem, '[^_.-]+$') || ext END]), lambda y: y IS NOT NULL))) AS feature FROM x),
+c AS (SELECT feature, count(*) AS n, count(kind) AS m, count(DISTINCT project_id) FILTER (kind IS NOT NULL) AS projects FROM g WHERE shown OR kind IS NOT NULL GROUP BY 1),
+top AS (SELECT feature, arg_max(kind, (k, kind)) AS kind FROM (SELECT feature, kind, count(*) AS k FROM g WHERE kind IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+mined AS (SELECT feature, top.kind, (m / n + 3.8416 / (2 * n) - 1.96 * sqrt(m / n * (1 - m / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n) AS share FROM c JOIN top USING (feature) WHERE projects >= 5),
+told AS (SELECT g.id, g.file_path, arg_max(mined.kind, (share, feature)) AS kind FROM g JOIN mined USING (feature) WHERE g.kind IS NULL AND share >= 0.9 GROUP BY 1, 2),
+out AS (SELECT j.id, j.project_id, coalesce(j.kind, told.kind) AS kind FROM j LEFT JOIN told ON told.id = j.id AND told.file_path = j.file_path)"""
+_P4 = f"WITH {_JUDGED} SELECT DISTINCT id AS file_id FROM out WHERE kind IS NOT NULL"
+_P4_PROJECTS = f"WITH {_JUDGED} SELECT project_id, {', '.join(f'count(*) FILTER (kind = {chr(39)}{k}{chr(39)}) AS {k}' for k in ('generated', 'vendored', 'compressed', 'data'))}, count(*) FILTER (kind IS NULL) AS hand_written FROM out GROUP BY 1"
+
+_P3_ALL = _P3.replace("SELECT function_id FROM embedding_probes", "SELECT id FROM functions WHERE id % 50 = 0").replace("row_number()", "round(list_cosine_similarity(q.e, v.e), 4) AS cosine, row_number()")
+_P3_ALL = _P3_ALL[: _P3_ALL.index("SELECT DISTINCT least")] + "SELECT id, other, cosine FROM s"
 
 
-ORACLE_SQL: dict[str, str] = {"p1_found": _P1, "p1_groups": _P1_GROUPS, "p3_found": _P3, "p4_found": _p4(), "p8_found": _P8}
+ORACLE_SQL: dict[str, str] = {"p1_found": _P1, "p1_groups": _P1_GROUPS, "p3_found": _P3, "p3_neighbours": _P3_ALL, "p4_found": _P4, "p4_projects": _P4_PROJECTS, "p8_found": _P8}
