@@ -28,6 +28,43 @@ def test_clean(code):
     assert find_secrets(code) == []
 
 
+JWT = "eyJhbGciOiJSUzI1NiJ9." + "aZ3kQ9pL2mX7vB1nR8tY5wC4" * 9 + ".Qm9_xT4LrK2pW8vN"
+#: Values without quotes, in files of settings, strings and comments over several lines; unnamed and very long tokens.
+PLAIN = {
+    "database:\n  user: app\n  password: hunter2Xy9!qq\n": "hunter2Xy9!qq", "export DB_PASSWORD=w0rk3r.2012x\n": "w0rk3r.2012x", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYzKQ7vT2a\n": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzKQ7vT2a",
+    "api.token=4f9aQ2!x8Lm\nother=1": "4f9aQ2!x8Lm", f'jwt = "{JWT}"': JWT, f"curl -H x {JWT}": JWT, 'text = """\nhost: a\npassword: abc12345\n"""': "abc12345", "/* set up\n   secret=k3yb0ard77 for now\n*/": "k3yb0ard77",
+    "const t = `\nurl: x\ntoken: q7Zp02Lx\n`;": "q7Zp02Lx", 'pass = "summertime"': "summertime", "# deploy with aZ3kQ9pL2mX7vB1nR8tY5wC4": "aZ3kQ9pL2mX7vB1nR8tY5wC4",
+}
+NONE = [
+    "password = config2", "token = self.token1", "password: str2 = None", "secret = getSecret1()", "password: ${DB_PASSWORD}", "password: <none>", "key: value1", "token: changeme", "password = prompt_text", "let token = buildHttp2RequestTokenForUserV3",
+    'pass = "required"', 'password = "password_field"', "public class OAuth2AuthorizationCodeGrantToken2 {}", "ssh-rsa aZ3kQ9pL2mX7vB1nR8tY5wC4aZ3kQ9pL2mX7vB1nR8tY5wC4", "integrity: sha512-aZ3kQ9pL2mX7vB1nR8tY5wC4+/aZ3kQ9pL2mX7vB1nR8tY5wC4==", "src: url(data:font/woff2;base64,aZ3kQ9pL2mX7vB1nR8tY5wC4)",
+    "-----BEGIN CERTIFICATE-----\naZ3kQ9pL2mX7vB1nR8tY5wC4aZ3k\n-----END CERTIFICATE-----",
+]
+
+
+@pytest.mark.parametrize("code,secret", PLAIN.items())
+def test_values_without_quotes_and_long_tokens(code, secret):
+    assert [code[a:b] for a, b in find_secrets(code)] == [secret]
+
+
+@pytest.mark.parametrize("code", NONE)
+def test_names_expressions_and_public_values_are_none(code):
+    assert find_secrets(code) == []
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    def spent(n):
+        code = ("a.key=b,c={token:'x',d:\"e\"};f('https://h/'+g)//" + 'password="w0rk3r.2012x";') * n
+        began = time.process_time()
+        assert len(find_secrets(code)) == n
+        return time.process_time() - began
+
+    spent(500)
+    assert spent(16_000) < 40 * spent(1_000) + 0.5
+
+
 def test_masking_keeps_all_else():
     code = "\n".join(FOUND) + "\n" + "\n".join(CLEAN) + "\n" + "x" * 200_000
     out = mask(code)
