@@ -15,9 +15,10 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut, is_empty, table
+from ..session import cut, drop_cut, is_empty, table
 
 FRAGMENT_ROWS = 20_000
+CLOSURE_ROWS = 4_000  # a fragment's pairs may be quadratic in its rows
 _SHRINK = 0.7
 
 
@@ -149,14 +150,16 @@ def _cycles_by_joins(edges: DataFrame) -> DataFrame:
         kept = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
         kept = cut(kept.select("child", "parent"))
         if kept.count() < size:
+            drop_cut(left)
             left = kept
             continue
         nodes = kept.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
-        colour = cut(nodes.withColumn("colour", F.col("node")))
+        colour = last = cut(nodes.withColumn("colour", F.col("node")))
         while True:  # the least node that each node reaches
             seen = kept.join(colour.select(F.col("node").alias("parent"), "colour"), "parent").groupBy(F.col("child").alias("node")).agg(F.min("colour").alias("other"))
             new = cut(colour.join(seen, "node", "left").select("node", F.least("colour", "other").alias("colour"), (F.col("other") < F.col("colour")).alias("moved")))
-            colour = new.select("node", "colour")
+            drop_cut(last)
+            colour, last = new.select("node", "colour"), new
             if is_empty(new.where("moved")):
                 break
         same = kept.join(colour.withColumnsRenamed({"node": "child", "colour": "c1"}), "child").join(colour.withColumnsRenamed({"node": "parent", "colour": "c2"}), "parent").where("c1 = c2")
@@ -165,9 +168,11 @@ def _cycles_by_joins(edges: DataFrame) -> DataFrame:
         while True:  # those of its colour that the least node reaches
             grown = inside.withColumnRenamed("node", "child").join(same, ["child", "colour"]).select(F.col("parent").alias("node"), "colour")
             new = cut(inside.union(grown).distinct())
-            if new.count() == inside.count():
-                break
+            done_growing = new.count() == inside.count()
+            drop_cut(inside)
             inside = new
+            if done_growing:
+                break
         back = same.select("parent", "child", "colour").where("parent = colour").select("colour").union(inside.groupBy("colour").count().where("count > 1").select("colour")).distinct()
         done = cut(done.union(inside.join(back, "colour", "left_semi").select("node", F.col("colour").alias("label"))))
         gone = inside.select(F.col("node").alias("child"))
@@ -280,8 +285,80 @@ def hierarchy_paths(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> Dat
     return out.select("node", "path", first.alias("root"), (F.size(F.split("path", "/")) - 1).alias("depth"), "on_cycle")
 
 
-def descendants(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
-    """(ancestor, descendant), distinct: all classes below each class. Members of a cycle are below each other and themselves."""
+# --- reachability ----------------------------------------------------------------------------------------------------
+
+
+def _close_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(grp, node, ancestor, depth, out): what each node reaches within the fragment, and the nodes outside one step further."""
+    own = defaultdict(list)
+    group = dict(zip(pdf["child"], pdf["grp"], strict=True))
+    for child, parent, depth, inside in zip(pdf["child"], pdf["parent"], pdf["depth"], pdf["frag"] == pdf["up_frag"], strict=True):
+        own[child].append((parent, depth, inside))
+    rows: dict[int, dict] = {}
+    for start in own:
+        todo = [start]
+        while todo:
+            v = todo[-1]
+            if v in rows:
+                todo.pop()
+                continue
+            wait = [p for p, _, inside in own[v] if inside and p in own and p not in rows]
+            if wait:
+                todo += wait
+                continue
+            got: dict[tuple[int, bool], int] = {}
+            for p, depth, inside in own[v]:
+                for key, d in [((p, not inside), depth), *(((q, out), depth + d) for (q, out), d in (rows[p].items() if inside and p in own else ()))]:
+                    got[key] = min(d, got.get(key, d))
+            rows[v] = got
+            todo.pop()
+    return pd.DataFrame([(group[v], v, q, d, out) for v, r in rows.items() for (q, out), d in r.items()], columns=["grp", "node", "ancestor", "depth", "out"])
+
+
+def _closure(edges: DataFrame, fragment_rows: int, level: int = 0) -> DataFrame:
+    """(grp, node, ancestor, depth): all pairs of ``edges(grp, child, parent, depth)``, acyclic, at their least depth.
+
+    Fragments are closed by themselves; the nodes that others enter and what they reach outside form the quotient, whose
+    own closure joins the fragments' pairs. Only pairs are kept, never ways, so diamonds cost what their pairs cost.
+    """
+    least = lambda df: df.groupBy("grp", "node", "ancestor").agg(F.min("depth").alias("depth"))
+    spread, total = _spread(edges, level, fragment_rows)
+    rows = cut(spread.groupBy("frag").applyInPandas(_close_fragment, "grp long, node long, ancestor long, depth long, out boolean"))
+    within, away = rows.where("not out").drop("out"), rows.where("out").drop("out")
+    entries = away.select(F.col("ancestor").alias("node")).distinct()
+    rest = cut(away.join(entries, "node", "left_semi").select("grp", F.col("node").alias("child"), F.col("ancestor").alias("parent"), "depth"))
+    n = rest.count()
+    if n == 0:
+        far = rest.select("grp", F.col("child").alias("node"), F.col("parent").alias("ancestor"), "depth")
+    elif n <= _SHRINK * total and level < 12:
+        far = _closure(rest, fragment_rows, level + 1)
+    else:
+        far = _double_pairs(rest)
+    step = lambda a, b: a.withColumnsRenamed({"ancestor": "mid", "depth": "d1"}).join(b.select(F.col("node").alias("mid"), "ancestor", F.col("depth").alias("d2")), "mid").select("grp", "node", "ancestor", (F.col("d1") + F.col("d2")).alias("depth"))
+    outside = cut(least(away.unionByName(step(away, far))))
+    return cut(least(within.unionByName(outside).unionByName(step(outside, within))))
+
+
+def _double_pairs(edges: DataFrame) -> DataFrame:
+    """The same by joins, for graphs that do not contract: each round doubles the length of the ways that pairs stand for."""
+    pairs = cut(edges.select("grp", F.col("child").alias("node"), F.col("parent").alias("ancestor"), "depth"))
+    while True:
+        on = pairs.select(F.col("node").alias("mid"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        longer = pairs.withColumnRenamed("ancestor", "mid").join(on, "mid").select("grp", "node", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        new = cut(pairs.unionByName(longer).groupBy("grp", "node", "ancestor").agg(F.min("depth").alias("depth")))
+        same = new.agg(F.count(F.lit(1)), F.sum("depth")).first() == pairs.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        drop_cut(pairs)
+        pairs = new
+        if same:
+            return pairs
+
+
+def ancestors(links: DataFrame, fragment_rows: int = CLOSURE_ROWS) -> DataFrame:
+    """(node, ancestor, depth), distinct: all that each node of ``links(grp, child, parent)`` reaches, at the least number of links.
+
+    A cycle counts as one node: its members are ancestors of each other and of themselves at depth 0, and equally far
+    from all else. Links with a null end are ignored, repeated ones count once; an empty input gives no rows.
+    """
     edges = cut(links.select(F.coalesce("grp", F.lit(-1)).cast("long").alias("grp"), F.col("child").cast("long"), F.col("parent").cast("long")).where("child is not null and parent is not null").distinct())
     found = cycle_members(edges, fragment_rows)
     least = found.groupBy("label").agg(F.min("node").alias("least"))
@@ -289,16 +366,18 @@ def descendants(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFra
     as_one = edges
     for c in ("child", "parent"):
         as_one = as_one.join(ring.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("least", c)).drop("least")
-    as_one = cut(as_one.where("child <> parent").select("grp", "child", "parent").distinct())
-    heads = as_one.select(F.col("child").alias("parent")).distinct().withColumn("has", F.lit(True))
-    tail = F.concat(F.lit("/"), F.col("child").cast("string"))
-    rows = as_one.join(heads, "parent", "left").select("grp", "child", F.when(F.col("has"), F.col("parent")).alias("parent"), F.when(F.col("has"), tail).otherwise(F.concat(F.col("parent").cast("string"), tail)).alias("path"))
-    ways = _solve_paths(cut(rows), fragment_rows).distinct()
-    pairs = ways.select(F.explode(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1).cast("array<long>")).alias("ancestor"), F.col("child").alias("descendant"))
-    for c in ("ancestor", "descendant"):
-        pairs = pairs.join(ring.select(F.col("least").alias(c), "node"), c, "left").withColumn(c, F.coalesce("node", c)).drop("node")
-    within = ring.select(F.col("node").alias("ancestor"), "least").join(ring.select(F.col("node").alias("descendant"), "least"), "least")
-    return pairs.select("ancestor", "descendant").union(within.select("ancestor", "descendant")).distinct()
+    as_one = cut(as_one.where("child <> parent").groupBy("child", "parent").agg(F.min("grp").alias("grp")).withColumn("depth", F.lit(1).cast("long")))
+    pairs = _closure(as_one, fragment_rows).select("node", "ancestor", "depth")
+    members = ring.withColumnRenamed("node", "member")
+    for c in ("ancestor", "node"):
+        pairs = pairs.join(members.withColumnRenamed("least", c), c, "left").withColumn(c, F.coalesce("member", c)).drop("member")
+    inner = ring.select("node", "least").join(ring.select(F.col("node").alias("ancestor"), "least"), "least").select("node", "ancestor", F.lit(0).cast("long").alias("depth"))
+    return pairs.select("node", "ancestor", "depth").union(inner)
+
+
+def descendants(links: DataFrame, fragment_rows: int = CLOSURE_ROWS) -> DataFrame:
+    """(ancestor, descendant), distinct: all classes below each class. Members of a cycle are below each other and themselves."""
+    return ancestors(links, fragment_rows).select("ancestor", F.col("node").alias("descendant"))
 
 
 # --- classes ---------------------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from stratacode.operators.hierarchy import _cycles_by_joins, class_links, cycle_members, descendants, hierarchy_paths
+from stratacode.operators.hierarchy import _cycles_by_joins, ancestors, class_links, cycle_members, descendants, hierarchy_paths
 
 SCHEMA = "grp long, child long, parent long"
 
@@ -74,6 +74,23 @@ def test_a_long_chain_over_many_fragments(spark):
     assert rows[n].path == "/".join(map(str, range(n + 1)))
 
 
+@pytest.mark.parametrize("rows", [7, 4000])
+def test_diamonds_cost_pairs_not_ways(spark, rows):
+    n = 30  # 2 ** 30 ways from the bottom to the top
+    links = [(0, 10 * (i + 1), 10 * i + k) for i in range(n) for k in (1, 2)] + [(0, 10 * i + k, 10 * i) for i in range(n) for k in (1, 2)]
+    got = {(r.node, r.ancestor): r.depth for r in ancestors(spark.createDataFrame(links, SCHEMA), rows).collect()}
+    up = {}
+    for _, c, p in links:
+        up.setdefault(c, []).append(p)
+    want = {}
+    for v in up:
+        level, d = {v}, 0
+        while level:
+            level, d = {p for x in level for p in up.get(x, ()) if (v, p) not in want}, d + 1
+            want |= {(v, p): d for p in level}
+    assert got == want
+
+
 def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, 1, 2), (0, None, 2), (0, 3, None)], SCHEMA)
     assert [(r.node, r.path) for r in hierarchy_paths(df).collect()] == [(1, "2/1")]
