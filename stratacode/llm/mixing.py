@@ -3,7 +3,8 @@
 A text may stand in several sources; documents of equal text are one item whose pattern is the set of its targeted
 sources. Items are aggregated by pattern, and a min-cost flow routes the patterns' tokens to the sources' quotas, each
 further use of the same tokens dearer than the one before. Every pattern's items, in seeded order and repeated, form a
-line of tokens that is cut to the flow's amounts.
+line of tokens that is cut to the flow's amounts. The line is cut into buckets of about ``BUCKET_ITEMS`` items, as many as
+a pattern needs, so that a source of any size is summed in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut, table
 
-BUCKETS, MOST_TARGETS = 1024, 12
+BUCKET_ITEMS = 20_000
 
 
 def tokenizer(path: str | None = None) -> tuple[str, str]:
@@ -142,34 +143,36 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     of several documents of one text and source the smallest id stands for all. A target given twice counts by its
     greatest share. Without any usable text the selection is empty. ``total`` asks for a size in tokens; by default the
     mix is the greatest that meets all wanted shares. A quota is met to within the tokens of one document.
-    At most ``MOST_TARGETS`` targets are allowed, as the patterns, at most two to their power, are planned on the driver.
+    Any number of targets may be given; the patterns that occur, sets of sources that hold one text, are planned on the
+    driver, so their number, not that of texts, must fit there: no more than the distinct sets of sources of equal texts.
     """
     spark = documents.sparkSession
     goals = targets.where("source is not null and target_share is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    rows = goals.orderBy("source").limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
-    bit = spark.createDataFrame([(r.source, i, 1 << i) for i, r in enumerate(rows)], "source string, number int, bit int")
+    rows = goals.orderBy("source").collect()  # one row a target
+    bit = spark.createDataFrame([(r.source, i) for i, r in enumerate(rows)], "source string, number int")
     counted = token_counts(documents.join(F.broadcast(bit.select("source")), "source", "left_semi"), path)
-    placed = cut(counted.where("tokens > 0").join(F.broadcast(bit), "source").groupBy("key_a", "key_b", "number", "bit").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens")))
-    items = placed.groupBy("key_a", "key_b").agg(F.sum("bit").cast("int").alias("pattern"), F.max("tokens").alias("tokens"))
-    items = cut(items.withColumn("bucket", F.pmod(F.xxhash64("key_a", "key_b", F.lit(seed)), F.lit(BUCKETS)).cast("int")))
-
-    sizes = items.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("n"))
-    known = {r.pattern: r.n for r in sizes.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most 2 ** MOST_TARGETS rows
+    placed = cut(counted.where("tokens > 0").join(F.broadcast(bit), "source").groupBy("key_a", "key_b", "number").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens")))
+    items = placed.groupBy("key_a", "key_b").agg(F.array_join(F.sort_array(F.collect_list("number")), ",").alias("pattern"), F.max("tokens").alias("tokens"))
+    items = cut(items)
+    whole = items.groupBy("pattern").agg(F.sum("tokens").alias("n"), F.ceil(F.count(F.lit(1)) / BUCKET_ITEMS).cast("int").alias("buckets")).collect()  # one row a pattern that occurs
+    named = {r.pattern: sum(1 << int(i) for i in r.pattern.split(",")) for r in whole}
+    known = {named[r.pattern]: r.n for r in whole}
+    buckets = spark.createDataFrame([(r.pattern, r.buckets) for r in whole], "pattern string, buckets int")
+    items = items.join(buckets, "pattern").withColumn("bucket", F.pmod(F.xxhash64("key_a", "key_b", F.lit(seed)), F.col("buckets")).cast("int"))
+    sizes = cut(items.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("n")))
     want, flow = plan(known, [r.target_share for r in rows], [r.max_repeats for r in rows], total)
 
-    at, spans = {}, []
+    at, spans, text = {}, [], {v: k for k, v in named.items()}
     for (p, i), f in sorted(flow.items()):
-        spans.append((p, i, at.get(p, 0), at.get(p, 0) + f, known[p]))
+        spans.append((text[p], i, at.get(p, 0), at.get(p, 0) + f, known[p]))
         at[p] = at.get(p, 0) + f
-    span = spark.createDataFrame(spans, "pattern int, number int, low long, high long, whole long")
-    before = sizes.select("pattern", "bucket", (F.sum("n").over(W.partitionBy("pattern").orderBy("bucket")) - F.col("n")).alias("before"))  # BUCKETS rows a pattern
+    span = spark.createDataFrame(spans, "pattern string, number int, low long, high long, whole long")
+    before = sizes.select("pattern", "bucket", (F.sum("n").over(W.partitionBy("pattern").orderBy("bucket")) - F.col("n")).alias("before"))  # a row for BUCKET_ITEMS items
     order = W.partitionBy("pattern", "bucket").orderBy(F.xxhash64("key_b", F.lit(seed)), "key_a", "key_b")
     line = items.join(before, ["pattern", "bucket"]).withColumn("start", F.col("before") + F.sum("tokens").over(order) - F.col("tokens"))
     # copy c of an item starts at start + c * whole; those with low <= start + c * whole < high go to the span's source
     through = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) - F.col("start")) / F.col("whole"))).cast("int")
-    used = line.join(F.broadcast(span), "pattern").withColumn("uses", through("high") - through("low")).where("uses > 0")
+    used = line.join(span, "pattern").withColumn("uses", through("high") - through("low")).where("uses > 0")
     chosen = used.join(placed.select("key_a", "key_b", "number", "doc_id"), ["key_a", "key_b", "number"])
     names = F.broadcast(bit.select("number", "source"))
     selection = cut(chosen.join(names, "number").select("doc_id", "source", "uses", "tokens"))

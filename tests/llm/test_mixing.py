@@ -54,8 +54,24 @@ def test_edges(spark, docs):
     targets = spark.createDataFrame([("a", 1.0, 2), ("a", 0.5, 2)], T)
     selection, shares = mix(docs.limit(0), targets)
     assert selection.count() == 0 and [tuple(r) for r in shares.collect()] == [("a", 1.0, 0.0, 0, 0.0, 0)]
-    with pytest.raises(ValueError):
-        mix(docs, spark.createDataFrame([(f"s{i}", 0.01, 1) for i in range(20)], T))
+
+
+def test_many_targets_and_overlapping_sources(spark):
+    n = 20
+    rows = [(100 * k + i, f"text {k if i < 5 else 0} number {i} of it", f"s{k}", "x") for k in range(n) for i in range(10)]  # five texts stand in all sources
+    selection, shares = mix(spark.createDataFrame(rows, D), spark.createDataFrame([(f"s{k}", 1 / n, 2) for k in range(n)], T))
+    got = shares.collect()
+    assert len(got) == n and all(abs(r.share - 1 / n) < 0.03 for r in got)
+    assert all(1 <= r.uses <= 2 for r in selection.collect())
+
+
+def test_buckets_do_not_change_what_is_mixed(spark, docs, monkeypatch):
+    from stratacode.llm import mixing
+
+    targets = spark.createDataFrame([("a", 0.6, 3), ("b", 0.2, 1), ("c", 0.2, 1)], T)
+    monkeypatch.setattr(mixing, "BUCKET_ITEMS", 7)
+    selection, shares = mix(docs, targets)
+    assert all(abs(r.share - r.wanted_share) < 0.06 for r in shares.collect()) and selection.count() > 0
 
 
 def test_tokens(spark):
