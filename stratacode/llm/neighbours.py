@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut, table
 
-K, WIDTH, DIM, LEAF = 10, 64, 8, 48
+K, DIM, LEAF = 10, 8, 48
+WIDTH = 64  # of the vectors of the tables; another is a parameter
 CONFIDENCE = 0.995
 PART_ROWS, SAMPLE_ROWS, QUERY_BLOCK, MOST_PARTS = 25_000, 20_000, 4_096, 4_096
 SEED = 20
@@ -41,7 +42,7 @@ def directions(width: int = WIDTH, dim: int = DIM, seed: int = SEED) -> np.ndarr
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float32) if len(column) else np.zeros((0, WIDTH), np.float32)
+    return np.stack(column.to_numpy()).astype(np.float32) if len(column) else np.zeros((0, 1), np.float32)
 
 
 def _split(points: np.ndarray, order: np.ndarray, leaf: int) -> list[np.ndarray]:
@@ -167,23 +168,24 @@ def _prepared(vectors: DataFrame, project: np.ndarray, axis: np.ndarray, value:
             x = (x[ok] / norm[ok][:, None]).astype(np.float32)
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "vector": list(x), "part": _route(x @ project, axis, value, parts) if parts > 1 else 0})
 
-    clean = vectors.where(f"id is not null and vector is not null and size(vector) = {WIDTH} and not exists(vector, x -> x is null)")
+    clean = vectors.where(f"id is not null and vector is not null and size(vector) = {len(project)} and not exists(vector, x -> x is null)")
     return clean.mapInPandas(run, "id long, vector array<float>, part int")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int = PART_ROWS, confidence: float = CONFIDENCE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int = PART_ROWS, confidence: float = CONFIDENCE, width: int = WIDTH) -> DataFrame:
     """(id, other, cosine): for each id of ``queries(id)`` the k other ids of ``vectors(id, vector)`` of highest cosine.
 
-    Ties go to the smaller id. Null vectors, vectors of another width, with null or infinite parts or all zero take no
+    Ties go to the smaller id. Null vectors, vectors of another width than ``width``, with null or infinite parts or all zero take no
     part, neither as queries nor as answers; an id given twice counts once, with its greatest vector. With fewer than k others there are
     fewer rows; empty inputs give none. The index covers every vector; only the top of the tree is fitted on a sample
     of ``SAMPLE_ROWS``. Of equal vectors the k + 1 of smallest id stand for all: no other of them can be an answer. Each
     partition holds about ``part_rows`` vectors; a fuller one is split by id, and the walk visits all its parts.
     """
     spark = vectors.sparkSession
-    project = directions()
+    project = directions(width)
     reach = chi_square_quantile(confidence)
     base = vectors.select(F.col("id").cast("long"), F.col("vector").cast("array<float>")).where("id is not null and vector is not null").groupBy("id").agg(F.max("vector").alias("vector"))
+    base = cut(base)  # counted, sampled and indexed
     total = base.count()
     parts = min(MOST_PARTS, 1 << max(0, math.ceil(math.log2(max(1, total) / part_rows))))
     if parts > 1:

@@ -46,3 +46,12 @@ def test_what_takes_no_part(spark):
     got = nearest(df, spark.createDataFrame([(i,) for i in range(1, 9)], "id long")).collect()
     assert sorted((r.id, r.other) for r in got) == [(1, 8), (8, 1)] and abs(got[0].cosine - 1) < 1e-5
     assert nearest(df.limit(0), spark.createDataFrame([(1,)], "id long")).count() == 0
+
+
+def test_vectors_of_another_width(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, [1.0] * 64)], "id long, vector array<float>")
+    got = [r.other for r in nearest(df, spark.createDataFrame([(3,)], "id long"), width=24).collect()]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 10 and len(set(got) & set(np.argsort(-(u @ u[3]))[1:11].tolist())) >= 9
