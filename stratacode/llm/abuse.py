@@ -42,54 +42,98 @@ def _word(raw: str) -> str:
     return _RUN.sub(r"\1", w)
 
 
-class _Words(dict):
-    """Token -> its normal form, kept."""
+_PART = re.compile(r"`[^`\n]*`|[\w@$*']+|\n+")
 
-    def __missing__(self, raw: str) -> str:
-        if len(self) > 500_000:
-            self.clear()
-        got = self[raw] = _word(raw)
-        return got
 
+def parts_of(text: str) -> list[str]:
+    """The raw tokens of a text; a line end stands for each end of a piece, a sentence or line."""
+    return _PART.findall(_PIECE.sub("\n", _SPACED.sub(lambda m: m.group(0)[::2], text)))
 
-_WORDS = _Words()
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
 
-def pieces(text: str) -> list[list[str]]:
-    """The words of a text in pieces between sentence ends."""
-    text = _SPACED.sub(lambda m: m.group(0)[::2], text)
-    return [w for p in _PIECE.split(text) if (w := [_WORDS[t] for t in _TOKEN.findall(p)])]
 
+class _Features(dict):
+    """Word -> the buckets of its subwords; the first is the word's own."""
 
-def starts(n: int) -> range:
-    """Where the windows of a piece of ``n`` words begin."""
-    return range(1) if n <= WIDTH else range(0, n - WIDTH + STRIDE, STRIDE)
+    def __missing__(self, word: str) -> np.ndarray:
+        import xxhash
 
+        if len(self) > 500_000:
+            self.clear()
+        parts = [word]
+        if word[0] != "0":
+            s = f"<{word}>"
+            parts += {s[i : i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)}
+        got = self[word] = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], dtype=np.uint64)
+        return got
 
-def windows(text: str) -> list[list[str]]:
-    """The pieces of a text cut to overlapping windows."""
-    return [w[i : i + WIDTH] for w in pieces(text) for i in starts(len(w))]
 
+_FEATURES = _Features()
 
-class _Features(dict):
-    """Word or pair of words -> hashed subwords."""
 
-    def __missing__(self, unit: str) -> np.ndarray:
-        import xxhash
+class _Numbers(dict):
+    """Raw token -> the number of its normal form; -1 for the end of a piece."""
 
-        if len(self) > 1_000_000:
-            self.clear()
-        if " " in unit or unit[0] == "0":
-            parts = [unit]
-        else:
-            s = f"<{unit}>"
-            parts = [unit, *{s[i : i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)}]
-        got = self[unit] = np.array([xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts], dtype=np.int64)
+    def __init__(self) -> None:
+        self.of: dict[str, int] = {}
+
+    def __missing__(self, raw: str) -> int:
+        got = self[raw] = -1 if raw[0] == "\n" else self.of.setdefault(_word(raw), len(self.of))
         return got
 
 
-def units_of(window: list[str]) -> list[str]:
-    return [*window, *(f"{a} {b}" for a, b in zip(window, window[1:], strict=False))]
+class Texts:
+    """Texts as flat arrays: the words, numbered, of all pieces; the pair that a word makes with the next; the windows."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        number = _Numbers()
+        flat: list[int] = []
+        ends = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            if text:
+                flat += [number[x] for x in parts_of(text)]
+            flat.append(-1)
+            ends[k] = len(flat)
+        every = np.array(flat, np.int64)
+        stops = np.flatnonzero(every < 0)
+        size = np.diff(np.r_[-1, stops]) - 1
+        owner = np.searchsorted(ends, stops, side="right")[size > 0]
+        size = size[size > 0]
+        self.n_texts, self.words, self.ids = len(texts), list(number.of), every[every >= 0]
+        feats = [_FEATURES[w] for w in self.words]
+        self.count = np.array([len(f) for f in feats], np.int64)
+        self.first = np.r_[0, np.cumsum(self.count)]
+        hashes = np.concatenate([np.empty(0, np.uint64), *feats])
+        self.buckets = (hashes % np.uint64(BUCKETS)).astype(np.int64)
+        own = hashes[self.first[:-1]][self.ids] if len(self.ids) else np.empty(0, np.uint64)
+        with np.errstate(over="ignore"):
+            self.pairs = (_mix(own[:-1] * np.uint64(3) + _mix(own[1:])) % np.uint64(BUCKETS)).astype(np.int64)
+        begin = np.cumsum(size) - size
+        n = np.where(size <= WIDTH, 1, -(-(size - WIDTH + STRIDE) // STRIDE))
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.start = np.repeat(begin, n) + STRIDE * step
+        self.end = np.minimum(self.start + WIDTH, np.repeat(begin + size, n))
+        self.of = np.repeat(owner, n)
+
+    def logits(self, weight: np.ndarray, bias: float) -> np.ndarray:
+        """The logit of each window: the average of its subwords' weights by differences of running sums."""
+        if not len(self.start):
+            return np.empty(0)
+        word = np.add.reduceat(weight[self.buckets].astype(np.float64), self.first[:-1])
+        total, some = np.r_[0, np.cumsum(word[self.ids])], np.r_[0, np.cumsum(self.count[self.ids])]
+        pair = np.r_[0, np.cumsum(weight[self.pairs].astype(np.float64))]
+        s = total[self.end] - total[self.start] + pair[self.end - 1] - pair[self.start]
+        return s / (some[self.end] - some[self.start] + self.end - 1 - self.start + PAD) + bias
+
+    def worst(self, logits: np.ndarray) -> np.ndarray:
+        """The greatest logit of each text, -inf without words."""
+        out = np.full(self.n_texts, -np.inf)
+        np.maximum.at(out, self.of, logits)
+        return out
 
 
 class Model:
@@ -97,127 +141,121 @@ class Model:
 
     def __init__(self, weight: np.ndarray, bias: float) -> None:
         self.weight, self.bias = weight, bias
-        self._feats, self._sums = _Features(), {}
-
-    def _sum(self, unit: str) -> tuple[float, int]:
-        got = self._sums.get(unit)
-        if got is None:
-            if len(self._sums) > 1_000_000:
-                self._sums.clear()
-            f = self._feats[unit]
-            got = self._sums[unit] = (float(self.weight[f].sum()), len(f))
-        return got
 
-    def window(self, window: list[str]) -> float:
-        s = n = 0.0
-        for u in units_of(window):
-            a, b = self._sum(u)
-            s += a
-            n += b
-        return s / (n + PAD) + self.bias
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of the worst window of each text; 0 for one without words."""
+        t = Texts(texts)
+        z = t.worst(t.logits(self.weight, self.bias))
+        return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def score(self, text: str | None) -> float:
-        """Probability of the worst window; 0 for a text without words. Windows are differences of running sums."""
-        worst = None
-        for w in pieces(text) if text else ():
-            s, n = [0.0], [0]  # word, pair with the next, word, ..
-            for k, u in enumerate(w):
-                for unit in (u, f"{u} {w[k + 1]}") if k + 1 < len(w) else (u,):
-                    a, b = self._sum(unit)
-                    s.append(s[-1] + a)
-                    n.append(n[-1] + b)
-            for i in starts(len(w)):
-                j = 2 * min(i + WIDTH, len(w)) - 1
-                z = (s[j] - s[2 * i]) / (n[j] - n[2 * i] + PAD)
-                worst = z if worst is None or z > worst else worst
-        return 0.0 if worst is None else float(1 / (1 + np.exp(-np.clip(worst + self.bias, -30, 30))))
-
-
-def _train(bags: list[list[str]], y: np.ndarray, weight: np.ndarray, feats: _Features, epochs: int, seed: int) -> Model:
-    """Embeddings and softmax by Adagrad; the loss of a window is weighted."""
+        return float(self.scores([text])[0])
+
+
+def _run(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``first`` on, ``n`` of each."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _sum_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, the sum of their rows)."""
+    by = np.argsort(key)
+    key = key[by]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[at], np.add.reduceat(rows[by], at, axis=0)
+
+
+def _train(t: Texts, windows: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, seed: int) -> Model:
+    """Embeddings and softmax by Adagrad over some windows of ``t``; the loss of a window is weighted.
+
+    A batch looks up each of its words once: its vector is the sum of its subwords', and so is its gradient shared out.
+    """
     rng = np.random.default_rng(seed)
     emb = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     g_emb, g_soft, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     soft += rng.normal(0, 0.1, soft.shape).astype(np.float32)
-    flat = [np.concatenate([feats[u] for u in b]) for b in bags]
-    lens = np.array([len(f) for f in flat])
     size, lr = 128, 0.25
+    start, length = t.start[windows], (t.end - t.start)[windows]
+    buckets, weight = t.buckets.astype(np.int32), weight.astype(np.float32)
+    pairs = t.pairs.astype(np.int32)
     for _ in range(epochs):
-        order = rng.permutation(len(flat))
+        order = rng.permutation(len(windows))
         for i in range(0, len(order), size):
             at = order[i : i + size]
-            f, n = np.concatenate([flat[k] for k in at]), lens[at]
-            starts = np.r_[0, np.cumsum(n)[:-1]]
-            hidden = np.add.reduceat(emb[f], starts, axis=0) / (n + PAD)[:, None]
+            n, row = length[at], np.arange(len(at))
+            word, occurs = np.unique(t.ids[_run(start[at], n)], return_inverse=True)
+            of_word, some = buckets[_run(t.first[word], t.count[word])], t.count[word]
+            of_pair, pair_row = pairs[_run(start[at], n - 1)], np.repeat(row, n - 1)
+            vector = np.add.reduceat(emb[of_word], np.cumsum(some) - some, axis=0)
+            pair = np.r_[np.zeros((1, DIM), np.float64), np.cumsum(emb[of_pair], axis=0, dtype=np.float64)]
+            ends = np.cumsum(n - 1)
+            total = np.add.reduceat(vector[occurs], np.cumsum(n) - n, axis=0) + (pair[ends] - pair[ends - n + 1]).astype(np.float32)
+            inverse = (1 / (np.add.reduceat(some[occurs], np.cumsum(n) - n) + n - 1 + PAD)).astype(np.float32)[:, None]
+            hidden = total * inverse
             z = hidden @ soft + bias
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(at)), y[at]] -= 1
+            p[row, y[at]] -= 1
             p *= weight[at][:, None]
-            back = (p @ soft.T) / (n + PAD)[:, None]
+            back = (p @ soft.T) * inverse
             gs, gb = hidden.T @ p / size, p.mean(0)
             g_soft += gs * gs
             g_bias += gb * gb
             soft -= lr * gs / np.sqrt(g_soft)
             bias -= lr * gb / np.sqrt(g_bias)
-            uniq, inv = np.unique(f, return_inverse=True)
-            owner = np.repeat(np.arange(len(at)), n)
-            ge = np.stack([np.bincount(inv, weights=back[owner, d], minlength=len(uniq)) for d in range(DIM)], 1).astype(np.float32)
-            g_emb[uniq] += (ge * ge).mean(1)
-            emb[uniq] -= lr * ge / np.sqrt(g_emb[uniq])[:, None]
+            _, by_word = _sum_by(occurs, back[np.repeat(row, n)])
+            key, ge = _sum_by(np.r_[of_word, of_pair], np.concatenate([np.repeat(by_word, some, axis=0), back[pair_row]]))
+            g_emb[key] += (ge * ge).mean(1)
+            emb[key] -= lr * ge / np.sqrt(g_emb[key])[:, None]
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fit(texts: list[str], votes: list[int], rounds: int = 3, epochs: int = 6, negatives: int = 30_000, seed: int = 17) -> Model:
     """Trains on voted texts. Deterministic for the same rows in the same order; without both kinds of votes every score is 0."""
     rng = np.random.default_rng(seed)
-    bags = [windows(t) if t else [] for t in texts]
-    pos = [i for i, v in enumerate(votes) if v == 1 and bags[i]]
-    neg = [i for i, v in enumerate(votes) if v == 0 and bags[i]]
-    if not pos or not neg:
+    t = Texts(texts)
+    vote = np.array(votes, np.int64)
+    has = np.zeros(len(texts), bool)
+    has[t.of] = True
+    n_pos, n_neg = int((has & (vote == 1)).sum()), int((has & (vote == 0)).sum())
+    if not n_pos or not n_neg:
         return Model(np.zeros(BUCKETS, np.float32), -30.0)
-    count: dict[str, list[int]] = {}
-    for kind, rows in ((1, pos), (0, neg)):
-        for i in rows:
-            for u in {u for w in bags[i] for u in units_of(w)}:
-                count.setdefault(u, [0, 0])[kind] += 1
-    base = len(pos) / (len(pos) + len(neg))
-
-    def telling(n: int, p: int) -> float:
-        """Log-likelihood ratio of a unit that most of its texts' votes call abusive; 0 if chance explains it."""
-        share = p / (n + p)
-        if share < 0.5 or share <= base:
-            return 0.0
-        g = 2 * (p * np.log(share / base) + (n * np.log((1 - share) / (1 - base)) if n else 0.0))
-        return g if g > TELLING else 0.0
-
-    odds = {u: telling(n, p) for u, (n, p) in count.items()}
-    rank = lambda w: sum(odds[u] for u in units_of(w))
-    feats, model = _Features(), None
+    base = n_pos / (n_pos + n_neg)
+    # how many texts of each vote hold a unit: a word or a pair of words of one window
+    n = t.end - t.start
+    at, of, last, row = _run(t.start, n), np.repeat(t.of, n), np.repeat(t.end, n) - 1, np.repeat(np.arange(len(n)), n)
+    v = len(t.words)
+    unit = np.r_[t.ids[at], v + t.ids[at[at < last]] * v + t.ids[at[at < last] + 1]]
+    units, unit = np.unique(unit, return_inverse=True)
+    seen = np.unique(unit * len(texts) + np.r_[of, of[at < last]])
+    held = np.bincount(seen // len(texts), minlength=len(units))
+    p = np.bincount(seen // len(texts), weights=vote[seen % len(texts)], minlength=len(units))
+    share = p / held
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (p * np.log(share / base) + np.where(held > p, (held - p) * np.log((1 - share) / (1 - base)), 0.0))
+    # log-likelihood ratio of a unit that most of its texts' votes call abusive; 0 if chance explains it
+    odds = np.where((share >= 0.5) & (share > base) & (g > TELLING), g, 0.0)
+    whole = odds[unit]
+    rank = np.bincount(row, weights=whole[: len(at)], minlength=len(n)) + np.bincount(row[at < last], weights=whole[len(at) :], minlength=len(n))
+
+    model, abusive = None, vote[t.of] == 1
     for r in range(rounds):
-        score = model.window if model else rank
-        bag: list[list[str]] = []
-        hard: list[tuple[float, list[str]]] = []
-        for i in pos:
-            s = np.array([score(w) for w in bags[i]])
-            top = int(s.argmax())
-            if s[top] <= 0:
-                continue  # no window explains the vote
-            for k, w in enumerate(bags[i]):
-                if k == top or s[k] > (0.5 if model else 0.6 * s[top]):
-                    bag.append(units_of(w))
-                elif model and s[k] < -2:
-                    hard.append((s[k], w))
-        hard += [(score(w), w) for i in neg for w in bags[i]]
-        worst = np.argsort([-a for a, _ in hard], kind="stable")[: negatives // 3]
-        pick = np.unique(np.r_[worst, rng.choice(len(hard), min(len(hard), negatives), replace=False)])
-        n_pos = len(bag)
-        bag += [units_of(hard[k][1]) for k in pick]
-        y = np.array([1] * n_pos + [0] * len(pick))
-        weight = np.array([max(1.0, 0.05 * len(pick) / max(1, n_pos))] * n_pos + [1.0] * len(pick), np.float32)
-        model = _train(bag, y, weight, feats, epochs, seed + r)
+        score = t.logits(model.weight, model.bias) if model else rank
+        top = t.worst(score)
+        # in each text voted abusive the windows that explain the vote; a vote that none explains is set aside
+        explained = abusive & (top[t.of] > 0)
+        first = np.zeros(len(score), bool)
+        best = np.flatnonzero(explained & (score == top[t.of]))
+        first[best[np.unique(t.of[best], return_index=True)[1]]] = True
+        pos = np.flatnonzero(explained & (first | (score > (0.5 if model else 0.6 * top[t.of]))))
+        hard = np.flatnonzero(~abusive | (explained & ~first & (score <= 0.5) & (score < -2)) if model else ~abusive)
+        worst = np.argsort(-score[hard], kind="stable")[: negatives // 3]
+        pick = hard[np.unique(np.r_[worst, rng.choice(len(hard), min(len(hard), negatives), replace=False)])]
+        y = np.array([1] * len(pos) + [0] * len(pick))
+        weight = np.array([max(1.0, 0.05 * len(pick) / max(1, len(pos)))] * len(pos) + [1.0] * len(pick), np.float32)
+        model = _train(t, np.r_[pos, pick], y, weight, epochs if r == rounds - 1 else max(1, epochs // 2), seed + r)
     return model
 
 
@@ -225,7 +263,7 @@ def _scorer(weight: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(weight, bias)
         for b in batches:
-            s = [model.score(t) for t in b.column(2).to_pylist()]
+            s = model.scores(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["doc_id", "source", "abuse"])
 
     return run

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from stratacode.llm.abuse import Model, _word, abuse_scores, fit, pieces, windows
+from stratacode.llm.abuse import PAD, WIDTH, Model, Texts, _word, abuse_scores, fit
 
 GOOD = ["the build is green again after the cache fix", "please rename this function before the release", "i killed the zombie process and freed the memory", "this flaky test makes me sad", "the parser skips a table whose header is empty"]
 BAD = ["you are a worthless parasite and a liar", "shut up you pathetic moron", "get lost you disgusting parasite", "nobody needs a moron like you here"]
@@ -29,7 +29,9 @@ def corpus(n, seed, share=0.2, noise=0.03):
 
 def test_words_are_normalised():
     assert _word("P4R4S1T3") == "parasite" and _word("`x y`") == "0id" and _word("loadUser") == "0id" and _word("1234") == "0nr" and _word("nooooo") == "no"
-    assert windows("you m o r o n! go") == [["you", "moron!".strip("!")], ["go"]] and pieces("") == []
+    t = Texts(["you m o r o n! go", None, "", " ".join(["word"] * 20)])
+    words = [[t.words[i] for i in t.ids[a:b]] for a, b in zip(t.start, t.end, strict=True)]
+    assert words == [["you", "moron"], ["go"], *[["word"] * WIDTH] * 3] and t.of.tolist() == [0, 0, 3, 3, 3]
 
 
 @pytest.fixture(scope="module")
@@ -47,9 +49,16 @@ def test_held_out_accuracy(model):
 
 def test_windows_by_running_sums(model):
     texts, _, _ = corpus(30, 3)
+
+    def logit(t, a, b):
+        flat = np.concatenate([*(t.buckets[t.first[w] : t.first[w + 1]] for w in t.ids[a:b]), t.pairs[a : b - 1]])
+        return model.weight[flat].astype(float).sum() / (len(flat) + PAD) + model.bias
+
     for t in texts:
-        z = max(model.window(w) for w in windows(t))
+        one = Texts([t])
+        z = max(logit(one, a, b) for a, b in zip(one.start, one.end, strict=True))
         assert abs(model.score(t) - 1 / (1 + np.exp(-z))) < 1e-9
+    assert np.allclose(model.scores([*texts, None, ""]), [*(model.score(t) for t in texts), 0.0, 0.0])
     assert model.score(None) == model.score("") == model.score(" \n ") == 0.0 and model.score(". ".join(GOOD * 10_000)) < 0.5
 
 
