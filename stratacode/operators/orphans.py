@@ -1,13 +1,17 @@
 """References to records that do not exist (problem 6).
 
-Keys become integers (ids as they are, names through a dictionary). References and parents become bitmaps per range of
-keys and month; a reference's bitmap AND NOT the parents' up to that month leaves the orphans, which are decoded and
-joined back to the rows that hold them. The bitmaps are built by map-side aggregation, so a key that a tenth of all
-rows name costs one bit a month. Only keys whose parent appeared in the month of the reference need exact times.
+Keys become integers (ids as they are, names through a dictionary). References and parents become compressed bitmaps per
+range of keys and month; a reference's bitmap AND NOT the parents' up to that month leaves the orphans, which are decoded
+and joined back to the rows that hold them. A range's bitmap is an array of 16-bit positions where it holds few and a bit
+string where it holds many, so a lone key costs two bytes and a range never more than 4 KB. Equal keys of a month are one
+bit before anything is shuffled, and a name meets the dictionary once a month, not once a row, however many rows have it.
+Only keys whose parent appeared in the month of the reference need exact times.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,27 +26,52 @@ def _month(ts: str) -> Column:
     return (F.year(ts) * 12 + F.month(ts) - 1).cast("int")
 
 
+_FEW = _BITS // 16  # an array of 16-bit positions is as long as the bit string at this many
+
+
+def pack(positions: np.ndarray) -> bytes:
+    """A range's bitmap: ``a`` and the positions, or ``b`` and the bit string, whichever is shorter."""
+    if len(positions) < _FEW:
+        return b"a" + np.sort(positions).astype("<u2").tobytes()
+    bits = np.zeros(_BITS, np.uint8)
+    bits[positions] = 1
+    return b"b" + np.packbits(bits, bitorder="little").tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    """The positions of a bitmap, in order."""
+    if packed[:1] == b"a":
+        return np.frombuffer(packed, "<u2", offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), bitorder="little"))
+
+
 def _bitmaps(keys: DataFrame) -> DataFrame:
     """(field, key_range, month, bits) of (field, key, month)."""
-    return keys.groupBy("field", F.bitmap_bucket_number("key").alias("key_range"), "month").agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.drop(columns="held").assign(bits=[pack(np.asarray(x, np.int64)) for x in pdf["held"]])
+
+    held = F.collect_set(F.bitmap_bit_position("key").cast("smallint")).alias("held")
+    got = keys.groupBy("field", F.bitmap_bucket_number("key").alias("key_range"), "month").agg(held)
+    return got.mapInPandas(run, "field string, key_range long, month int, bits binary")
 
 
 def _and_not(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     """(field, key_range, month, position, certain) of the references without a parent before their month."""
     cols = ["field", "key_range", "month", "position", "certain"]
     out = []
-    known = {m: np.frombuffer(b, np.uint8) for m, b in zip(parents["month"], parents["bits"], strict=True)}
-    months, i, before = sorted(known), 0, np.zeros(_BITS // 8, np.uint8)
+    known = {m: unpack(b) for m, b in zip(parents["month"], parents["bits"], strict=True)}
+    months, i, before = sorted(known), 0, np.zeros(_BITS, bool)
     for field, rng, month, bits in refs.sort_values("month")[["field", "key_range", "month", "bits"]].itertuples(index=False):
         while i < len(months) and months[i] < month:
-            before = before | known[months[i]]
+            before[known[months[i]]] = True
             i += 1
-        ref = np.frombuffer(bits, np.uint8)
-        same = known.get(month, np.zeros_like(before))
-        for certain, left in ((True, ref & ~(before | same)), (False, ref & same & ~before)):
-            at = np.flatnonzero(np.unpackbits(left, bitorder="little"))
-            if len(at):
-                out.append(pd.DataFrame({"field": field, "key_range": rng, "month": month, "position": at, "certain": certain}))
+        left = unpack(bits)
+        left = left[~before[left]]
+        certain = ~np.isin(left, known[month]) if month in known else np.ones(len(left), bool)
+        if len(left):
+            out.append(pd.DataFrame({"field": field, "key_range": rng, "month": month, "position": left, "certain": certain}))
     return pd.concat(out) if out else pd.DataFrame([], columns=cols)
 
 
@@ -54,17 +83,15 @@ def orphan_references(relationships: DataFrame, functions: DataFrame, files: Dat
     side is not later. Several rows of one parent id count by the earliest. A relationship given twice is listed once if
     either version is an orphan. month is that of created_at as yyyy-MM, null if the time is null.
     """
-    rel = relationships.select("id", "source_function_id", "target_file_id", "target_function_name", "relationship_type", "created_at").where("id is not null")
-    calls = rel.where(F.upper("relationship_type") == "CALLS").where("target_function_name is not null")
-    words = functions.select(F.col("name").alias("word")).where("name is not null").union(calls.select("target_function_name"))
+    called = F.when(F.upper("relationship_type") == "CALLS", F.col("target_function_name"))
+    rel = relationships.where("id is not null").select("id", "source_function_id", "target_file_id", called.alias("word"), "created_at", F.coalesce(_month("created_at"), F.lit(_LAST)).alias("month"))
+    rel = cut(rel)
+    asked = rel.where("word is not null").select("word", "month").distinct()
+    words = functions.select(F.col("name").alias("word")).where("name is not null").union(asked.select("word"))
     dictionary = cut(cut(words.distinct()).select("word", (F.monotonically_increasing_id() + 1).alias("key")))
-
-    def refs(field: str, df: DataFrame, key: Column | str) -> DataFrame:
-        return df.select(F.lit(field).alias("field"), "id", F.col(key).cast("long").alias("key") if isinstance(key, str) else key, "created_at", F.coalesce(_month("created_at"), F.lit(_LAST)).alias("month"))
-
-    named = calls.join(dictionary.withColumnRenamed("word", "target_function_name"), "target_function_name")
-    references = refs("source_function_id", rel.where("source_function_id is not null"), "source_function_id")
-    references = references.union(refs("target_file_id", rel.where("target_file_id is not null"), "target_file_id")).union(refs("target_function_name", named, "key"))
+    named = asked.join(dictionary, "word").select(F.lit("target_function_name").alias("field"), "key", "month")
+    by_id = [F.struct(F.lit(c).alias("field"), F.col(c).cast("long").alias("key")) for c in ("source_function_id", "target_file_id")]
+    ids = rel.select("id", "created_at", "month", F.explode(F.array(*by_id)).alias("x")).select("x.field", "id", "x.key", "created_at", "month").where("key is not null")
 
     def parents(field: str, df: DataFrame, by_time: bool) -> DataFrame:
         got = df.select(F.lit(field).alias("field"), F.col("key").cast("long"), (F.col("created_at") if by_time else F.lit(None).cast("timestamp_ntz")).alias("created_at")).where("key is not null")
@@ -76,7 +103,7 @@ def orphan_references(relationships: DataFrame, functions: DataFrame, files: Dat
     there = there.withColumn("month", F.coalesce(_month("created_at"), F.lit(_FIRST)))
 
     left = (
-        _bitmaps(references)
+        _bitmaps(ids.select("field", "key", "month").union(named))
         .groupBy("field", "key_range")
         .cogroup(_bitmaps(there).groupBy("field", "key_range"))
         .applyInPandas(_and_not, "field string, key_range long, month int, position int, certain boolean")
@@ -84,10 +111,11 @@ def orphan_references(relationships: DataFrame, functions: DataFrame, files: Dat
     # the inverse of the two bitmap functions: ranges from 1 up hold positive keys, the others those up to 0
     key = F.when(F.col("key_range") > 0, (F.col("key_range") - 1) * _BITS + F.col("position") + 1).otherwise(F.col("key_range") * _BITS - F.col("position"))
     left = cut(left.select("field", key.alias("key"), "month", "certain"))
-    hit = references.join(left, ["field", "key", "month"])
+    hit = ids.join(left.where("field <> 'target_function_name'"), ["field", "key", "month"])
     sure = hit.where("certain").select("id", "field", "created_at")
     later = hit.where("not certain").join(there.select("field", "key", F.col("created_at").alias("born")), ["field", "key"]).where("born > created_at").select("id", "field", "created_at")
-    out = sure.union(later)
+    nameless = left.where("field = 'target_function_name'").join(dictionary, "key").select("word", "month", "field")
+    out = sure.union(later).union(rel.join(nameless, ["word", "month"]).select("id", "field", "created_at"))
     return out.select(F.col("id").alias("relationship_id"), F.col("field").alias("ref_field"), F.date_format("created_at", "yyyy-MM").alias("month")).distinct()
 
 

@@ -1,6 +1,8 @@
 from datetime import datetime as dt
 
-from stratacode.operators.orphans import orphan_references
+import numpy as np
+
+from stratacode.operators.orphans import orphan_references, pack, unpack
 
 REL = "id long, source_function_id long, target_file_id long, target_function_name string, relationship_type string, created_at timestamp_ntz, extra string"
 FN = "id long, name string, created_at timestamp_ntz, extra string"
@@ -46,3 +48,10 @@ def test_empty_tables(spark):
     rel = [(1, 1, 1, "a", "CALLS", dt(2030, 1, 1), "")]
     assert len(run(spark, rel, [], [])) == 3
     assert run(spark, [], [(1, "a", None, "")], []) == []
+
+
+def test_bitmaps_keep_their_positions():
+    for n in (0, 1, 2047, 2048, 32768):
+        at = np.random.default_rng(n).permutation(32768)[:n]
+        packed = pack(at)
+        assert np.array_equal(unpack(packed), np.sort(at)) and len(packed) <= min(1 + 2 * n, 4097)
