@@ -175,22 +175,40 @@ def fill_snippets(functions: DataFrame, files: DataFrame, projects: DataFrame, t
     return out.where("own is not null or theirs is not null").select("id", F.coalesce("own", "theirs").alias("code_snippet"), F.when(F.col("own").isNotNull(), "source").otherwise("sibling").alias("origin"))
 
 
+def _normalised(functions: DataFrame) -> DataFrame:
+    """Replies as a model writes them, prose around JSON with missing and null parts, made of the functions' columns and brought to form."""
+    reply = F.struct(
+        F.col("ai_purpose").alias("purpose"),
+        F.array(F.struct("name", F.col("return_type").alias("type")), F.struct(F.lit("").alias("name"), F.lit("dropped").alias("type"))).alias("inputs"),
+        F.struct(F.col("return_type").alias("type")).alias("outputs"),
+        F.when(F.col("llm_processed"), F.array(F.lit("writes"), F.lit(None).cast("string"))).alias("side_effects"),
+    )
+    x = normalise_reply(F.concat(F.lit("Here it is:\n"), F.to_json(reply), F.lit("\nDone.")))
+    shown = F.array_join(F.transform(x["inputs"], lambda i: F.concat_ws(":", i["name"], i["type"], i["description"])), ",")
+    return functions.select("id", x["purpose"].alias("purpose"), shown.alias("inputs"), x["outputs"]["type"].alias("output_type"), F.size(x["side_effects"]).alias("effects"))
+
+
 QUERIES = {
     "embedding_generate": lambda s, d: embed(table(s, d, "functions").select("id", embedding_text().alias("text")), HashingEmbedder()).select("id", F.size("embedding").alias("width")),
     "overview_items": lambda s, d: overview_items(*(table(s, d, n) for n in ("projects", "files", "functions", "classes"))).select("id", F.md5("code").alias("text_md5")),
     "snippet_fill": lambda s, d: fill_snippets(*(table(s, d, n) for n in ("functions", "files", "projects"))),
     "enrich_stub": lambda s, d: fill_purposes(table(s, d, "functions"), NameProvider()),
-    "json_normalize": lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")),
+    "json_normalize": lambda s, d: _normalised(table(s, d, "functions")),
+    "embedding_values": lambda s, d: embed(table(s, d, "functions").select("id", embedding_text().alias("text")), HashingEmbedder()).select("id", F.posexplode("embedding").alias("pos", "value")).select("id", "pos", F.round(F.col("value").cast("double"), 5).alias("value")).where("value <> 0"),
     "pattern_normalize": lambda s, d: table(s, d, "classes").select("id", F.explode(normalise_patterns("ai_patterns")).alias("p")).select("id", "p.pattern", "p.confidence"),
 }
 ORACLE_SQL = {
     "embedding_generate": "SELECT id, CASE WHEN regexp_matches(lower(concat_ws(' ', name, signature, ai_purpose, left(docstring, 500), left(code_snippet, 2000))), '[a-z0-9]') THEN 64 END AS width FROM functions",
-    "overview_items": """WITH fn AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS f, arg_min(docstring, id) FILTER (trim(docstring) <> '') AS doc FROM functions GROUP BY 1), cl AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS c FROM classes GROUP BY 1),
-r AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY file_path NULLS FIRST, id) AS place, left(coalesce(file_path, '?') || ': ' || coalesce(f, '') || '; ' || coalesce(c, '') || '; ' || left(coalesce(doc, ''), 200), 400) AS row FROM files LEFT JOIN fn ON fn.file_id = id LEFT JOIN cl ON cl.file_id = id QUALIFY place <= 40)
+    "overview_items": """WITH fn AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS f, arg_min(docstring, id) FILTER (trim(docstring) <> '') AS doc FROM functions GROUP BY 1), cl AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS c, arg_min(docstring, id) FILTER (trim(docstring) <> '') AS doc FROM classes GROUP BY 1),
+r AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY file_path NULLS FIRST, id) AS place, coalesce(file_path, '?') || ': ' || coalesce(f, '') || '; ' || coalesce(c, '') || '; ' || left(coalesce(fn.doc, cl.doc, ''), 200) AS row FROM files LEFT JOIN fn ON fn.file_id = id LEFT JOIN cl ON cl.file_id = id)
 SELECT p.id, md5(string_agg(r.row, chr(10) ORDER BY place)) AS text_md5 FROM projects p JOIN r ON r.project_id = p.id GROUP BY 1""",
     "enrich_stub": r"""WITH g AS (SELECT id, coalesce(code_hash, 'id:' || id) AS key, name FROM functions WHERE coalesce(ai_purpose, '') = ''),
 f AS (SELECT key, arg_min(coalesce(name, ''), id) AS name FROM g GROUP BY 1), w AS (SELECT key, trim(lower(replace(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'), '_', ' '))) AS words FROM f)
 SELECT g.id, CASE WHEN words <> '' THEN 'does ' || words ELSE '' END AS ai_purpose FROM g JOIN w USING (key)""",
-    "json_normalize": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "json_normalize": """SELECT id, coalesce(ai_purpose, '') AS purpose, CASE WHEN coalesce(name, '') <> '' THEN name || ':' || coalesce(return_type, 'unknown') || ':' ELSE '' END AS inputs, coalesce(return_type, 'unknown') AS output_type, CASE WHEN llm_processed THEN 1 ELSE 0 END::INTEGER AS effects FROM functions""",
+    "embedding_values": r"""WITH t AS (SELECT id, regexp_extract_all(lower(concat_ws(chr(10), nullif(name, ''), nullif(signature, ''), nullif(ai_purpose, ''), nullif(left(docstring, 500), ''), nullif(left(code_snippet, 2000), ''))), '[a-z0-9]+') AS w FROM functions),
+h AS (SELECT id, md5(unnest(w)) AS m FROM t), b AS (SELECT id, ('0x' || substr(m, 1, 2))::INTEGER % 64 AS pos, CASE WHEN ('0x' || substr(m, 15, 2))::INTEGER >= 128 THEN 1.0 ELSE -1.0 END AS s FROM h),
+v AS (SELECT id, pos, sum(s) AS x FROM b GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(x * x)) AS size FROM v GROUP BY 1)
+SELECT id, pos, round((x / size)::FLOAT::DOUBLE, 5) AS value FROM v JOIN n USING (id) WHERE size > 0 AND round((x / size)::FLOAT::DOUBLE, 5) <> 0""",
     "pattern_normalize": "WITH p AS (SELECT id, unnest(ai_patterns) AS p FROM classes) SELECT id, p.pattern AS pattern, CASE WHEN lower(p.confidence) IN ('high', 'medium', 'low') THEN lower(p.confidence) ELSE 'medium' END AS confidence FROM p WHERE p.pattern <> ''",
 }

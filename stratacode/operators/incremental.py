@@ -9,6 +9,12 @@ from ..session import table
 UNFINISHED = ("pending", "running", "failed")
 
 
+def remaining(counts: DataFrame, total: str, done: str) -> DataFrame:
+    """``counts`` with what is left to do, never below 0; nulls count as 0."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return counts.withColumn("remaining", F.greatest(F.lit(0), zero(total) - zero(done)))
+
+
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(project_id, file_path, state) of two manifests (project_id, file_path, file_hash): new, changed, same or deleted.
 
@@ -99,7 +105,8 @@ def latest_tasks(tasks: DataFrame) -> DataFrame:
 
 
 def unfinished_tasks(tasks: DataFrame) -> DataFrame:
-    return tasks.where(F.col("status").isin(*UNFINISHED))
+    """Pending, running and failed tasks, the newest first, on ties by id."""
+    return tasks.where(F.col("status").isin(*UNFINISHED)).orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
 
 
 def resumable_tasks(tasks: DataFrame) -> DataFrame:
@@ -164,8 +171,26 @@ def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_STEPS, _STATES = ("clone", "parse", "overview", "report", "completed"), ("PENDING", "started", "PROGRESS", "RETRY", "SUCCESS", "FAILURE", "odd")
+
+
+def _checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks of the events after a checkpoint of every second one."""
+    tasks = task_view(table(spark, sf_dir, "events")).select("id", "status", F.lit(None).cast("array<string>").alias("processed_files"), F.lit(None).cast("string").alias("last_processed_file"), F.lit(9).alias("total_files"))
+    saved = tasks.where("id % 2 = 0").select("id", F.array(F.concat(F.lit("a"), F.col("id")), F.lit("b")).alias("processed_files"), F.lit("b").alias("last_processed_file"), F.lit(7).alias("total_files"))
+    return checkpoint(tasks, saved).select("id", "status", F.array_join("processed_files", ",").alias("files"), "last_processed_file", "total_files")
+
+
 QUERIES = {
     "incremental_manifest": lambda s, d: manifest_diff(*_halves(s, d)),
+    "pending_files": lambda s, d: pending_files(_halves(s, d)[1], _halves(s, d)[0]).select("project_id", "file_path"),
+    "processed_paths": lambda s, d: processed_paths(*_halves(s, d)),
+    "upsert_purposes": lambda s, d: upsert(table(s, d, "functions").where("id % 3 <> 0").select("id", "name", "ai_purpose"), table(s, d, "functions").where("id % 2 = 0").select("id", F.upper("ai_purpose").alias("ai_purpose"))),
+    "set_mode": lambda s, d: set_mode(table(s, d, "projects"), table(s, d, "projects").where("language = 'python'").select("id"), "expert").select("id", "analysis_mode"),
+    "task_progress": lambda s, d: table(s, d, "events").select("event_id", F.element_at(F.array(*[F.lit(x) for x in _STEPS]), F.pmod("event_id", F.lit(5)).cast("int") + 1).alias("step"), F.pmod("event_id", F.lit(23)).alias("at"), F.lit(20).alias("total")).select("event_id", progress_percent("step", "at", "total").alias("percent")),
+    "public_status": lambda s, d: table(s, d, "events").select("event_id", F.element_at(F.array(*[F.lit(x) for x in _STATES]), F.pmod("event_id", F.lit(7)).cast("int") + 1).alias("state")).select("event_id", public_status("state").alias("status")),
+    "task_checkpoint": _checkpointed,
+    "remaining_files": lambda s, d: remaining(table(s, d, "files").groupBy("project_id").agg(F.count(F.lit(1)).alias("total"), (F.count_if(F.col("language").isNull()) * 40).alias("done")), "total", "done").select("project_id", "total", "done", "remaining"),
     "content_hash_cache": lambda s, d: cached_metadata(*_t(s, d, "functions")),
     "metadata_preserve": lambda s, d: preserve_metadata(table(s, d, "functions").where("llm_processed"), *_t(s, d, "functions")),
     "cross_project_fill": lambda s, d: cross_project_code(*_t(s, d, "functions", "files", "projects")),
@@ -179,6 +204,15 @@ ORACLE_SQL = {
 n AS (SELECT project_id, file_path, max(CASE WHEN dayofweek(created_at) = 1 THEN md5(coalesce(file_hash, '')) ELSE file_hash END) AS b FROM files WHERE dayofweek(created_at) <> 0 GROUP BY 1, 2)
 SELECT coalesce(o.project_id, n.project_id) AS project_id, coalesce(o.file_path, n.file_path) AS file_path, CASE WHEN o.file_path IS NULL THEN 'new' WHEN n.file_path IS NULL THEN 'deleted' WHEN a IS NOT DISTINCT FROM b THEN 'same' ELSE 'changed' END AS state
 FROM o FULL JOIN n ON o.project_id = n.project_id AND o.file_path = n.file_path""",
+    "pending_files": """SELECT n.project_id, n.file_path FROM (SELECT project_id, file_path, CASE WHEN dayofweek(created_at) = 1 THEN md5(coalesce(file_hash, '')) ELSE file_hash END AS h FROM files WHERE dayofweek(created_at) <> 0) n
+WHERE NOT EXISTS (SELECT 1 FROM files o WHERE day(o.created_at) % 2 = 0 AND o.project_id = n.project_id AND o.file_path = n.file_path AND o.file_hash = n.h)""",
+    "processed_paths": "SELECT project_id, file_path FROM files WHERE day(created_at) % 2 = 0 UNION SELECT project_id, file_path FROM files WHERE dayofweek(created_at) <> 0",
+    "upsert_purposes": "WITH o AS (SELECT id, name, ai_purpose FROM functions WHERE id % 3 <> 0), n AS (SELECT id, upper(ai_purpose) AS p FROM functions WHERE id % 2 = 0) SELECT coalesce(o.id, n.id) AS id, o.name, coalesce(n.p, o.ai_purpose) AS ai_purpose FROM o FULL JOIN n ON n.id = o.id",
+    "set_mode": "SELECT id, CASE WHEN language = 'python' THEN 'expert' ELSE analysis_mode END AS analysis_mode FROM projects",
+    "task_progress": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 10 WHEN 1 THEN least(90, floor(30 + (event_id % 23) / 20 * 60)) WHEN 2 THEN 85 WHEN 3 THEN 90 ELSE 100 END::INTEGER AS percent FROM events",
+    "public_status": "SELECT event_id, ['pending', 'running', 'running', 'running', 'completed', 'failed', 'unknown'][event_id % 7 + 1] AS status FROM events",
+    "task_checkpoint": "WITH t AS (SELECT event_id AS id, ['pending', 'running', 'failed', 'completed'][length(event_type) % 4 + 1] AS status FROM events) SELECT id, status, CASE WHEN id % 2 = 0 AND status <> 'completed' THEN 'a' || id || ',b' END AS files, CASE WHEN id % 2 = 0 AND status <> 'completed' THEN 'b' END AS last_processed_file, CASE WHEN id % 2 = 0 THEN 7 ELSE 9 END::INTEGER AS total_files FROM t",
+    "remaining_files": "WITH c AS (SELECT project_id, count(*) AS total, count(*) FILTER (language IS NULL) * 40 AS done FROM files GROUP BY 1) SELECT *, greatest(0, total - done) AS remaining FROM c",
     "content_hash_cache": "WITH h AS (SELECT code_hash, arg_min(ai_purpose, id) AS p, min(id) AS i FROM functions WHERE code_hash IS NOT NULL AND ai_purpose IS NOT NULL GROUP BY 1) SELECT f.id, h.p AS cached_purpose, h.i AS cached_from FROM functions f JOIN h USING (code_hash) WHERE f.ai_purpose IS NULL",
     "metadata_preserve": """WITH o AS (SELECT * FROM functions WHERE llm_processed AND ai_purpose IS NOT NULL), e AS (SELECT file_id, name, start_line, code_hash, arg_min(ai_purpose, id) AS p FROM o WHERE file_id IS NOT NULL AND name IS NOT NULL AND start_line IS NOT NULL AND code_hash IS NOT NULL GROUP BY 1, 2, 3, 4),
 h AS (SELECT code_hash, arg_min(ai_purpose, id) AS p FROM o WHERE code_hash IS NOT NULL GROUP BY 1)

@@ -12,12 +12,15 @@ def _short(column: str, n: int) -> Column:
 
 
 def file_summary(files: DataFrame, functions: DataFrame, classes: DataFrame, docs: int = 200) -> DataFrame:
-    """(file_id, project_id, file_path, functions, classes, doc): names by id and the first ``docs`` characters of the first docstring."""
+    """(file_id, project_id, file_path, functions, classes, doc): names by id and the first ``docs`` characters of the first docstring.
+
+    The docstring is that of the function of smallest id that has one, else that of such a class.
+    """
     fn = functions.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("f"), F.min_by("docstring", F.when(F.trim("docstring") != "", F.col("id"))).alias("doc"))
-    cl = classes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("c"))
+    cl = classes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("c"), F.min_by("docstring", F.when(F.trim("docstring") != "", F.col("id"))).alias("class_doc"))
     names = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["name"]), ", "), F.lit(""))
     base = files.select(F.col("id").alias("file_id"), "project_id", "file_path")
-    return base.join(fn, "file_id", "left").join(cl, "file_id", "left").select("file_id", "project_id", "file_path", names("f").alias("functions"), names("c").alias("classes"), _short("doc", docs).alias("doc"))
+    return base.join(fn, "file_id", "left").join(cl, "file_id", "left").select("file_id", "project_id", "file_path", names("f").alias("functions"), names("c").alias("classes"), F.substring(F.coalesce("doc", "class_doc", F.lit("")), 1, docs).alias("doc"))
 
 
 REPORT_ORDER = ["project_id", "file_path", "file_id", "kind", "first_line", "item_id", "line"]
@@ -67,8 +70,8 @@ QUERIES = {
 }
 _ENTRY = "'- {0} `' || coalesce(name, '?') || '` (lines ' || coalesce(start_line::VARCHAR, '?') || '-' || coalesce(end_line::VARCHAR, '?') || ')' || CASE WHEN left(coalesce(docstring, ''), 100) <> '' THEN ': ' || translate(left(docstring, 100), chr(10) || chr(13), '  ') ELSE '' END"
 ORACLE_SQL = {
-    "file_summary": """WITH fn AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS f, arg_min(docstring, id) FILTER (trim(docstring) <> '') AS doc FROM functions GROUP BY 1), cl AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS c FROM classes GROUP BY 1)
-SELECT fl.id AS file_id, fl.project_id, fl.file_path, coalesce(fn.f, '') AS functions, coalesce(cl.c, '') AS classes, left(coalesce(fn.doc, ''), 200) AS doc FROM files fl LEFT JOIN fn ON fn.file_id = fl.id LEFT JOIN cl ON cl.file_id = fl.id""",
+    "file_summary": """WITH fn AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS f, arg_min(docstring, id) FILTER (trim(docstring) <> '') AS doc FROM functions GROUP BY 1), cl AS (SELECT file_id, string_agg(name, ', ' ORDER BY id) AS c, arg_min(docstring, id) FILTER (trim(docstring) <> '') AS doc FROM classes GROUP BY 1)
+SELECT fl.id AS file_id, fl.project_id, fl.file_path, coalesce(fn.f, '') AS functions, coalesce(cl.c, '') AS classes, left(coalesce(fn.doc, cl.doc, ''), 200) AS doc FROM files fl LEFT JOIN fn ON fn.file_id = fl.id LEFT JOIN cl ON cl.file_id = fl.id""",
     "report_markdown": f"""WITH b AS (SELECT fl.project_id, fl.file_path, fl.id AS file_id, i.* FROM (
  SELECT file_id AS f, 1 AS kind, coalesce(start_line, 0) AS first_line, id AS item_id, {_ENTRY.format('class')} AS line FROM classes UNION ALL SELECT file_id, 2, coalesce(start_line, 0), id, {_ENTRY.format('function')} FROM functions) i JOIN files fl ON fl.id = i.f),
 c AS (SELECT project_id, count(*) FILTER (kind = 2) AS nf, count(*) FILTER (kind = 1) AS nc FROM b GROUP BY 1), n AS (SELECT project_id, count(*) AS n FROM files GROUP BY 1)

@@ -7,13 +7,14 @@ One analyzer without stemming serves all fields. Ties go to the smaller id.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import Query, cosine, embedding_text, parse_query, split_identifiers, tokens
 from ..schema import conform
-from ..session import table
+from ..session import table, work_dir
 from .graph import relationship_counts
 
 MOST = 100
@@ -80,6 +81,43 @@ def search_index(index: DataFrame, text: str, limit: int = 20) -> DataFrame:
     return hit.where(F.col("n") == len(terms)).select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(min(limit, MOST))
 
 
+BUCKETS = 64
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def store_index(index: DataFrame, path: str) -> None:
+    """Writes an index of :func:`build_index`: a folder for each bucket of tokens, sorted by token within its files."""
+    placed = index.withColumn("bucket", _bucket(F.col("token")))
+    placed.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def open_index(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """The part of a stored index that a query needs: only the folders of its terms' buckets are read."""
+    terms = parse_query(text).terms
+    wanted = sorted({r[0] for r in spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(_bucket(F.col("t"))).collect()}) if terms else []
+    stored = spark.read.schema("token string, id long, weight double, bucket int").parquet(path)
+    return stored.where(F.col("bucket").isin(wanted) & F.col("token").isin(terms)).drop("bucket")
+
+
+def page_info(results: DataFrame, limit: int) -> DataFrame:
+    """(count, limit, has_more) of one page of results: there may be more if the page is full."""
+    limit = max(0, min(limit, MOST))
+    return results.agg(F.count(F.lit(1)).alias("count")).select("count", F.lit(limit).alias("limit"), (F.col("count") == limit).alias("has_more"))
+
+
+def full(results: DataFrame, functions: DataFrame, files: DataFrame, projects: DataFrame) -> DataFrame:
+    """Results with every field of the function, its file and its project, in place order."""
+    fn = functions.drop("embedding", "code_hash", "llm_processed", *[c for c in results.columns if c not in ("id", "file_id", "place", "score", "file_path", "project_id", "project_name")])
+    kept = [c for c in results.columns if c not in fn.columns or c == "id"]
+    fl = files.select(F.col("id").alias("file_id"), "file_path", "project_id", F.col("language").alias("file_language"))
+    pr = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"), "repo_url")
+    rows = results.select(kept).drop("file_path", "project_id", "project_name", "file_id")
+    return rows.join(fn, "id").join(fl, "file_id").join(pr, "project_id")
+
+
 def search_functions(functions: DataFrame, files: DataFrame, projects: DataFrame, text: str, language: str | None = None, project_id: int | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     """The best functions for a query: place, id, name, signature, language, lines, path, project and score.
 
@@ -193,12 +231,29 @@ def _vec(s: SparkSession, d: str, limit: int = 20) -> DataFrame:
     return semantic_search(*_t(s, d, "functions", "files"), vector=_first_vector(s, d), limit=limit)
 
 
+def _stored(s: SparkSession, d: str, text: str) -> DataFrame:
+    """A search over an index that is written to the shared folder first."""
+    path = f"{work_dir(s)}/index_{uuid.uuid4().hex}"
+    store_index(build_index(_t(s, d, "functions")[0]), path)
+    return search_index(open_index(s, path, text), text)
+
+
+def _busiest(s: SparkSession, d: str) -> int:
+    """The project with most files, the smallest id on ties."""
+    return table(s, d, "files").where("project_id is not null").groupBy("project_id").count().orderBy(F.desc("count"), "project_id").first().project_id
+
+
 _SHOW = ("place", "id", "name", "file_path", "project_id", "score")
 QUERIES = {
     "search_functions": lambda s, d: _text(s, d).select(*_SHOW),
     "search_functions_page2": lambda s, d: search_functions(*_t(s, d, "functions", "files", "projects"), text="ledger", limit=10, offset=10).select(*_SHOW),
     "search_with_counts": lambda s, d: with_counts(_text(s, d), *_t(s, d, "functions", "function_relationships")).select("id", "place", "callers", "callees"),
     "search_index": lambda s, d: search_index(build_index(_t(s, d, "functions")[0]), "ledger gateway"),
+    "search_index_stored": lambda s, d: _stored(s, d, "ledger gateway"),
+    "search_functions_language": lambda s, d: search_functions(*_t(s, d, "functions", "files", "projects"), text="ledger", language="python").select(*_SHOW),
+    "search_functions_project": lambda s, d: search_functions(*_t(s, d, "functions", "files", "projects"), text="ledger or gateway or cursor", project_id=_busiest(s, d)).select(*_SHOW),
+    "search_page_info": lambda s, d: page_info(_text(s, d, 10), 10),
+    "search_full": lambda s, d: full(_text(s, d), *_t(s, d, "functions", "files", "projects")).select("place", "id", "name", "signature", "docstring", "code_snippet", "return_type", "ai_purpose", "explanation_simple", "file_path", "repo_url"),
     "search_classes": lambda s, d: search_classes(*_t(s, d, "classes", "files", "projects"), text=CLASS_TEXT).select(*_SHOW),
     "search_match_all": lambda s, d: search_classes(*_t(s, d, "classes", "files", "projects"), text=" ").select(*_SHOW),
     "pattern_filter": lambda s, d: search_classes(*_t(s, d, "classes", "files", "projects"), pattern="Observer").select(*_SHOW),
@@ -244,12 +299,16 @@ _V = """q AS (SELECT arg_min(embedding, id) AS v FROM functions WHERE len(embedd
 vs AS (SELECT id, name, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)::DOUBLE[]), 4) AS score FROM functions WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 vt AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM vs QUALIFY place <= {})"""
 _CLS = "WITH j AS (SELECT c.id, c.name, fl.file_path, fl.project_id, 1.0::DOUBLE AS score FROM classes c JOIN files fl ON fl.id = c.file_id JOIN projects p ON p.id = fl.project_id {}), top AS (SELECT *, row_number() OVER (ORDER BY name, id) AS place FROM j QUALIFY place <= 20) " + _PICK
-ORACLE_SQL = {
+ORACLE_SQL: dict[str, str] = {
     "search_functions": f"{_F}, {_TOP.format(20)} {_PICK}",
     "search_functions_page2": _sql_search("functions", _FC, FUNCTION_FIELDS, "ledger", _FX) + f", {_TOP.format(20)} {_PICK} WHERE place > 10",
     "search_with_counts": f"""{_F}, {_TOP.format(20)}, e AS (SELECT source_function_id AS source, target_function_name AS target FROM function_relationships WHERE relationship_type = 'CALLS' AND source_function_id IN (SELECT id FROM top))
 SELECT t.id, t.place, (SELECT count(*) FROM e WHERE e.target = t.name) AS callers, (SELECT count(*) FROM e WHERE e.source = t.id) AS callees FROM top t""",
     "search_index": _sql_search("functions", _FC, FUNCTION_FIELDS, "ledger gateway", _FX).replace(", j AS", ", unused AS") + " SELECT id, score FROM s ORDER BY score DESC, id LIMIT 20",
+    "search_functions_language": _sql_search("(SELECT * FROM functions WHERE language = 'python')", _FC, FUNCTION_FIELDS, "ledger", _FX) + f", {_TOP.format(20)} {_PICK}",
+    "search_functions_project": _sql_search("(SELECT * FROM functions WHERE file_id IN (SELECT id FROM files WHERE project_id = (SELECT project_id FROM files WHERE project_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)))", _FC, FUNCTION_FIELDS, "ledger or gateway or cursor", _FX) + f", {_TOP.format(20)} {_PICK}",
+    "search_page_info": f"{_F}, {_TOP.format(10)} SELECT count(*) AS count, 10::INTEGER AS \"limit\", count(*) = 10 AS has_more FROM top",
+    "search_full": f"{_F}, {_TOP.format(20)} SELECT t.place, t.id, t.name, f.signature, f.docstring, f.code_snippet, f.return_type, f.ai_purpose, NULL::VARCHAR AS explanation_simple, t.file_path, p.repo_url FROM top t JOIN functions f ON f.id = t.id JOIN projects p ON p.id = t.project_id",
     "search_classes": _sql_search("classes", _CC, CLASS_FIELDS, CLASS_TEXT, _CX) + f", {_TOP.format(20)} {_PICK}",
     "search_match_all": _CLS.format(""),
     "pattern_filter": _CLS.format("WHERE len(list_filter(c.ai_patterns, lambda x: x.pattern = 'Observer')) > 0"),
@@ -263,3 +322,4 @@ SELECT *, row_number() OVER (ORDER BY fused DESC, id) AS place FROM h QUALIFY pl
     "embedding_text": "SELECT id, md5(concat_ws(chr(10), nullif(name, ''), nullif(signature, ''), nullif(ai_purpose, ''), nullif(left(docstring, 500), ''), nullif(left(code_snippet, 2000), ''))) AS text_md5 FROM functions",
     "identifier_split": f"SELECT id, translate(regexp_replace(coalesce(name, ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ') AS words, CAST(len(list_filter({_sql_tokens('signature')}, lambda x: x <> '')) AS INTEGER) AS signature_tokens FROM functions",
 }
+ORACLE_SQL["search_index_stored"] = ORACLE_SQL["search_index"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,6 +105,34 @@ def next_definition(functions: DataFrame) -> DataFrame:
     return functions.select("id", (at - 1).alias("estimated_end"))
 
 
+def class_ends(classes: DataFrame) -> DataFrame:
+    """(id, estimated_end): the line before the next class of the file; null for the last, which ends with its file."""
+    at = F.lead("start_line").over(W.partitionBy("file_id").orderBy("start_line", "id"))
+    return classes.select("id", (at - 1).alias("estimated_end"))
+
+
+def end_by_indent(definitions: DataFrame) -> DataFrame:
+    """(id, estimated_end) of ``definitions(id, file_id, start_line, indent)``: the line before the file's next definition
+    that is indented as much or less; null where none follows. Nested definitions thus lie within the outer one.
+
+    Null lines and indents have no estimate. A file's definitions are read in one pass, in one task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends, later = {}, []  # from the last line up; later: (line, indent), nearer ones deeper
+        for start, same in itertools.groupby(sorted(zip(-pdf["start_line"], pdf["indent"], pdf["id"], strict=True)), key=lambda x: -x[0]):
+            same = list(same)
+            for _, indent, i in same:
+                ends[i] = next((line - 1 for line, n in reversed(later) if n <= indent), None)
+            while later and later[-1][1] >= same[0][1]:
+                later.pop()
+            later.append((start, same[0][1]))
+        return pd.DataFrame({"id": pdf["id"], "estimated_end": pd.array([ends.get(i) for i in pdf["id"]], dtype="Int32")})
+
+    whole = definitions.where("start_line is not null and indent is not null and file_id is not null").select("file_id", "id", "start_line", "indent")
+    return whole.groupBy("file_id").applyInPandas(run, "id long, estimated_end int")
+
+
 def comment_blocks(functions: DataFrame) -> DataFrame:
     """(id, block_lines): how many comment lines stand in a row at the top of a snippet."""
     rows = F.split("code_snippet", "\n")
@@ -133,12 +162,19 @@ def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_files(src, ["id", "project_id", "file_path"])
 
 
+def _indented(functions: DataFrame) -> DataFrame:
+    """Definitions with an indent: as deep as their lines, modulo 3, have it, for the tables' snippets all begin at the margin."""
+    return functions.select("id", "file_id", "start_line", F.pmod(F.length("name"), F.lit(3)).alias("indent"))
+
+
 QUERIES = {
     "language_detection": lambda s, d: table(s, d, "files").select("id", language_of("file_path").alias("detected")),
     "content_hash": lambda s, d: table(s, d, "functions").select("id", F.md5(F.coalesce("code_snippet", F.lit(""))).alias("code_md5"), F.length(F.coalesce("code_snippet", F.lit(""))).alias("code_length")),
     "call_extraction": lambda s, d: table(s, d, "functions").where("code_snippet is not null").select("id", called_names("code_snippet").alias("called")),
     "import_extraction": lambda s, d: table(s, d, "files").select(F.col("id").alias("file_id"), F.explode("dependencies.imports").alias("x")).select("file_id", F.col("x.source").alias("source"), F.col("x.line").alias("line")),
     "next_definition_end_line": lambda s, d: next_definition(table(s, d, "functions")),
+    "class_ends": lambda s, d: class_ends(table(s, d, "classes")),
+    "end_by_indent": lambda s, d: end_by_indent(_indented(table(s, d, "functions"))),
     "comment_blocks": lambda s, d: comment_blocks(table(s, d, "functions")),
     "resolve_targets": lambda s, d: resolve_targets(*_t(s, d, "function_relationships", "functions", "files")),
     "parse_snippets": lambda s, d: _snippets(s, d).select("id", F.transform("functions", lambda f: f["name"]).alias("functions"), F.size("calls").alias("calls"), F.transform("classes", lambda c: c["name"]).alias("classes")),
@@ -151,6 +187,8 @@ ORACLE_SQL = {
     "call_extraction": f"SELECT id, list_sort(list_distinct(list_filter(regexp_extract_all(code_snippet, '([a-zA-Z_]\\w*)\\s*\\(', 1), lambda x: x NOT IN ({', '.join(repr(x) for x in sorted(NOT_CALLED))})))) AS called FROM functions WHERE code_snippet IS NOT NULL",
     "import_extraction": "WITH i AS (SELECT id AS file_id, unnest(dependencies.imports) AS x FROM files) SELECT file_id, x.source AS source, x.line AS line FROM i",
     "next_definition_end_line": "SELECT id, lead(start_line) OVER (PARTITION BY file_id ORDER BY start_line NULLS FIRST, id) - 1 AS estimated_end FROM functions",
+    "class_ends": "SELECT id, lead(start_line) OVER (PARTITION BY file_id ORDER BY start_line NULLS FIRST, id) - 1 AS estimated_end FROM classes",
+    "end_by_indent": "WITH f AS (SELECT id, file_id, start_line, length(name) % 3 AS indent FROM functions WHERE start_line IS NOT NULL AND name IS NOT NULL AND file_id IS NOT NULL) SELECT f.id, (SELECT min(g.start_line) - 1 FROM f g WHERE g.file_id = f.file_id AND g.start_line > f.start_line AND g.indent <= f.indent) AS estimated_end FROM f",
     "comment_blocks": "WITH r AS (SELECT id, list_transform(string_split(code_snippet, chr(10)), lambda x: regexp_matches(trim(x), '^(//|#|\\*|/\\*)')) AS n FROM functions WHERE code_snippet IS NOT NULL) SELECT id, CAST(coalesce(list_position(n, false) - 1, len(n)) AS INTEGER) AS block_lines FROM r",
     "resolve_targets": """WITH p AS (SELECT f.id, f.name, fl.project_id FROM functions f JOIN files fl ON fl.id = f.file_id), l AS (SELECT project_id, name, min(id) AS i FROM p GROUP BY 1, 2), g AS (SELECT name, min(id) AS i FROM functions GROUP BY 1),
 r AS (SELECT DISTINCT id AS rel_id, source_function_id, target_function_name AS name FROM function_relationships WHERE upper(relationship_type) = 'CALLS')

@@ -50,11 +50,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has no such setting (tests on one machine) a folder of our own is made and removed at exit.
+    Only a session in one process (``local``) without that setting gets a folder of its own, removed at exit; on a
+    cluster, where other machines could not read it, the setting is demanded.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="stratacode_"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)

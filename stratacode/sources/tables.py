@@ -18,7 +18,6 @@ def write_table(df: DataFrame, root: str, name: str, form: str = "parquet", by_p
     path = f"{root}/{name}.{form}"
     writer = df.write.format(form).mode("overwrite")
     if by_project:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        writer = writer.partitionBy("project_id")
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("project_id")
     writer.save(path)
     return path

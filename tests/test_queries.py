@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from stratacode.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -29,7 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(q for q in entry.queries() if not q.startswith("p")) + sorted(q for q in ("p2_found", "p2_hierarchy", "p2_descendants", "p6_found", "p6_report", "parse_snippets", "parse_call_edges", "pattern_filter", "pattern_normalize", "progress_stream", "progress_windows", "project_stats")))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
