@@ -12,7 +12,8 @@ first, and it is cut into fragments twice:
    of two) and summed over the fragments. An n-gram that very many representatives keep as one of their rarest meets
    itself in pairs of blocks of ``HOLDERS``, each a key of its own.
 
-The tasks are bounded by n-grams, ``_TASK_TOKENS``, and so grow in number with the input, not in size. The result is exact up to collisions of 64-bit n-gram hashes; nothing is capped or sampled.
+The tasks in Python are bounded by n-grams, ``_TASK_TOKENS``, and so grow in number with the input, not in size; the
+joins are Spark's own, which spill and are split by size. The result is exact up to collisions of 64-bit n-gram hashes; nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -273,8 +274,7 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     segment = cuts.select("field", "class_id", "fragment", F.slice("tokens", F.array_position("levels", F.col("fragment")).cast("int"), long).alias("segment"))
     seg_a = segment.select("field", F.col("class_id").alias("a"), "fragment", F.col("segment").alias("segment_a"))
     seg_b = segment.select("field", F.col("class_id").alias("b"), "fragment", F.col("segment").alias("segment_b"))
-    partial = candidates.repartition(n, "field", "a").join(seg_a.repartition(n, "field", "a"), ["field", "a"])
-    partial = partial.repartition(n, "field", "b", "fragment").join(seg_b.repartition(n, "field", "b", "fragment"), ["field", "b", "fragment"])
+    partial = candidates.join(seg_a, ["field", "a"]).join(seg_b, ["field", "b", "fragment"])
     partial = partial.select("field", "a", "b", "n_a", "n_b", F.size(F.array_intersect("segment_a", "segment_b")).alias("part"))
     pairs = partial.groupBy("field", "a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap")).where((p + q) * F.col("overlap") >= p * (F.col("n_a") + F.col("n_b")))
     return cut(pairs.select("field", "a", "b", "overlap", "n_a", "n_b")), classes
