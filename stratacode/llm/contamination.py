@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import cut, table
 
 _WORD = re.compile(r"[a-z0-9]+")
-RUN, SEED, ITEM_BLOCK, CLOSE = 13, 5, 2_000, 0.5
+RUN, SEED, CLOSE = 13, 5, 0.5
+ITEM_BLOCK, BLOCK_CHARS = 2_000, 4_000_000  # of items and their text: what the driver and the tasks hold at once
 
 
 def words_of(text: str | None) -> list[str]:
@@ -143,6 +144,26 @@ def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_words", "alignment"])
 
 
+def _seeds(items: list[tuple[int, np.ndarray]], grams: np.ndarray, often: np.ndarray, span: int) -> list[tuple[int, int]]:
+    """(item_id, gram), distinct: of each window of ``span`` n-grams the rarest that the corpus holds, ties by the n-gram.
+
+    ``grams``, sorted, and ``often`` are the n-grams that the corpus holds and their numbers.
+    """
+    place = np.empty(len(grams), np.int64)
+    place[np.lexsort((grams, often))] = np.arange(len(grams))
+    out: set[tuple[int, int]] = set()
+    for item, g in items:
+        if not len(g) or not len(grams):
+            continue
+        at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+        rank = np.where(grams[at] == g, place[at], len(grams))
+        n = max(1, min(span, len(g)))
+        best = np.unique(np.lib.stride_tricks.sliding_window_view(rank, n).min(1))
+        first = {int(r): int(x) for r, x in zip(rank, g, strict=True)}
+        out |= {(item, first[int(r)]) for r in best if r < len(grams)}
+    return sorted(out)
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, seed: int = SEED, item_block: int = ITEM_BLOCK, edited: bool = True) -> DataFrame:
     """(doc_id, item_id, run_words, alignment) for each document that holds a seed of an item or is close to one.
 
@@ -151,30 +172,29 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, seed: i
     pair with ``CLOSE`` or more is there, however many other copies the corpus holds. Other pairs are those of a seed.
 
     Null and blank texts have no words; an item of fewer than ``run`` words is one window of its own and of fewer than
-    ``seed`` takes no part. Repeated rows count once, texts are taken whole. The items are worked off in blocks of at most
-    ``item_block``, so that the seeds sent to the tasks are bounded; the corpus is read once a block.
+    ``seed`` takes no part. Repeated rows count once, texts are taken whole. The items are worked off in blocks of about
+    ``item_block`` items and ``BLOCK_CHARS`` characters, whichever is less, so that what the driver holds and sends to the
+    tasks is bounded (one item alone may be longer); the corpus is read once a block.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     tests = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    blocks = max(1, -(-tests.count() // item_block))
+    n, chars = tests.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // item_block), -(-chars // BLOCK_CHARS))
     out = None
     for k in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        words, windows, whole = _Hashes(), [], []
+        words, grams, whole = _Hashes(), [], []
         for r in rows:
             units = np.array([words[w] for w in words_of(r.text)], dtype=np.uint64)
             if len(units) >= seed:
                 whole.append((r.item_id, units))
-            g = _grams(units, seed)
-            span = max(1, min(run - seed + 1, len(g)))
-            windows += [(r.item_id, i, int(x)) for i in range(max(0, len(g) - span + 1)) for x in g[i : i + span]]
-        wanted = np.unique(np.array([w[2] for w in windows], dtype=np.int64))
+            grams.append((r.item_id, _grams(units, seed)))
+        wanted = np.unique(np.concatenate([np.empty(0, np.int64), *(g for _, g in grams)]))
         hits = cut(docs.mapInArrow(_hits(wanted, seed), "doc_id long, gram long, n long"))
-        often = hits.groupBy("gram").agg(F.sum("n").alias("often"))
-        window = spark.createDataFrame(pd.DataFrame(windows, columns=["item_id", "at", "gram"]), "item_id long, at int, gram long")
-        rare = window.join(often, "gram").groupBy("item_id", "at").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
-        pairs = hits.join(rare.select("item_id", "gram").distinct(), "gram").select("doc_id", "item_id")
+        often = hits.groupBy("gram").agg(F.sum("n").alias("often")).orderBy("gram").toPandas()  # at most the block's own n-grams
+        seeds = _seeds(grams, often["gram"].to_numpy(np.int64), often["often"].to_numpy(np.int64), run - seed + 1)
+        pairs = hits.join(spark.createDataFrame(seeds, "item_id long, gram long"), "gram").select("doc_id", "item_id")
         if edited and whole:
             pairs = pairs.union(docs.mapInArrow(_close(whole), "doc_id long, item_id long"))
         pairs = pairs.distinct()
