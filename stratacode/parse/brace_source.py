@@ -7,8 +7,9 @@ where its body does. A function within a class is one of its methods; a call bel
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
-from .lexer import blank, closing, comment_text
+from .lexer import blank, comment_text, line_numbers, pairs_of
 
 _ID = r"[A-Za-z_$][\w$]*"
 #: Words before a parenthesis that call nothing. Keywords and output statements of the languages.
@@ -92,13 +93,13 @@ def _return_type(after: str, m: re.Match, language: str) -> str | None:
     return got[1] if got and language == "typescript" else None
 
 
-def _docs(source: str, spans: list[tuple[int, int]]) -> dict[int, str]:
+def _docs(source: str, spans: list[tuple[int, int]], line: Callable[[int], int]) -> dict[int, str]:
     """The comment block that ends on the line before each line (its number), a blank line in between ends it."""
     by_end: dict[int, tuple[int, str]] = {}
     for a, b in spans:
         if source[source.rfind("\n", 0, a) + 1 : a].strip():
             continue
-        first, last = source.count("\n", 0, a) + 1, source.count("\n", 0, b) + 1
+        first, last = line(a), line(b)
         text = comment_text(source[a:b])
         if first - 1 in by_end:
             first, text = by_end[first - 1][0], f"{by_end[first - 1][1]}\n{text}"
@@ -106,22 +107,47 @@ def _docs(source: str, spans: list[tuple[int, int]]) -> dict[int, str]:
     return {k + 1: t for k, (_, t) in by_end.items()}
 
 
+_TAIL, _ARROW, _STOP, _COLON = re.compile(r"[^{;=]*(?:=(?!>)[^{;]*)?(?:=>)?\s*"), re.compile(rf"({_ID})\s*=>\s*"), re.compile(r"[;\n]"), re.compile(r"\s*:")
+
+
+def _innermost(positions: Iterable[int], items: list[dict], beyond: str = "at") -> list[dict | None]:
+    """For each position, in ascending order, the item of the last start whose range holds it, its ``beyond`` not after it.
+
+    ``items`` are sorted by start; those that have ended leave the stack for good, so one sweep serves all positions.
+    """
+    out, stack, k = [], [], 0
+    for i in positions:
+        while k < len(items) and items[k]["at"] < i:
+            stack.append(items[k])
+            k += 1
+        while stack and stack[-1]["end"] < i:
+            stack.pop()
+        out.append(next((x for x in reversed(stack) if i <= x["end"] and x[beyond] <= i), None))
+    return out
+
+
 def parse_braces(source: str, language: str) -> dict:
     """The facts; an unknown language or an empty source has none."""
     if language not in _HEADS or not source.strip():
         return {"functions": [], "classes": [], "calls": [], "imports": [], "extends": []}
     plain, code, spans = blank(source, quotes="\"'" if language in ("java", "rust") else "\"'`", lifetimes=language == "rust")
-    line = lambda i: source.count("\n", 0, i) + 1
-    docs = _docs(source, spans)
+    line = line_numbers(source)
+    docs = _docs(source, spans, line)
+    round_, curly = pairs_of(code, "()"), pairs_of(code, "{}")
     classes = []
     for m in _CLASSES[language].finditer(code):
         brace = code.find("{", m.end())
         stop = code.find(";", m.end())
-        end = closing(code, brace, "{}") if brace >= 0 and not 0 <= stop < brace else (stop if stop >= 0 else m.end())
+        end = curly.get(brace, -1) if brace >= 0 and not 0 <= stop < brace else (stop if stop >= 0 else m.end())
         name = m.groupdict().get("name") or m.groupdict().get("impl")
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         classes.append({"name": name, "at": start, "end": end if end >= 0 else len(code) - 1, "body": brace})
 
+    in_class = bytearray(len(code) + 1)  # which positions lie in the body of a class
+    for c in classes:
+        if c["body"] >= 0 and c["end"] > c["body"]:
+            in_class[c["body"] + 1 : c["end"] + 1] = b"\1" * (c["end"] - c["body"])
+    class_names = {c["name"] for c in classes}
     found: dict[int, dict] = {}
     for kind, head in _HEADS[language]:
         for m in head.finditer(code):
@@ -130,35 +156,35 @@ def parse_braces(source: str, language: str) -> dict:
                 continue
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             if code[m.end()] == "(":
-                shut = closing(code, m.end())
+                shut = round_.get(m.end(), -1)
                 if shut < 0:
                     continue
                 inner = source[m.end() + 1 : shut]
-                tail = re.match(r"[^{;=]*(?:=(?!>)[^{;]*)?(?:=>)?\s*", code[shut + 1 :])
+                tail = _TAIL.match(code, shut + 1)
                 after, body = tail[0], shut + 1 + len(tail[0])
             else:
-                got = re.match(rf"({_ID})\s*=>\s*", code[m.end() :])
+                got = _ARROW.match(code, m.end())
                 inner, shut, after, body = got[1], m.end() + len(got[1]), "=>", m.end() + len(got[0])
             arrow = "=>" in after
             opens = code[body : body + 1] == "{"
             if kind in ("variable", "field") and not arrow and "function" not in m[0]:
                 continue
             if kind == "method":
-                inside = any(c["body"] >= 0 and c["body"] < start <= c["end"] for c in classes)
+                inside = in_class[start]
                 if language == "java":
                     if not inside or (not opens and code[body : body + 1] != ";") or re.search(r"[=.+\-*/&|?]", after.replace("throws", "")) or m["type"] and m["type"].strip() in ("return", "new", "else", "throw", "case"):
                         continue
-                    if not m["type"] and not any(c["name"] == name for c in classes):
+                    if not m["type"] and name not in class_names:
                         continue
-                elif not opens and not (inside and re.match(r"\s*:", after)) or arrow or after.strip()[:1] in (",", ")", ".", "?", "+"):
+                elif not opens and not (inside and _COLON.match(after)) or arrow or after.strip()[:1] in (",", ")", ".", "?", "+"):
                     continue
-            if kind == "field" and not any(c["body"] >= 0 and c["body"] < start <= c["end"] for c in classes):
+            if kind == "field" and not in_class[start]:
                 continue
             if opens:
-                end = closing(code, body, "{}")
+                end = curly.get(body, -1)
             else:
-                semi = re.search(r"[;\n]", code[body:])
-                end = body + semi.start() if semi else len(code) - 1
+                semi = _STOP.search(code, body)
+                end = semi.start() if semi else len(code) - 1
             mods = (m.groupdict().get("mods") or "").split()
             shown = " ".join([x for x in ("static", "async", "get", "set") if x in mods] if language in ("javascript", "typescript") else [])
             signature = f"{shown} {name}({', '.join(_params(inner))})".strip() if language in ("javascript", "typescript") else " ".join(source[start : shut + 1].split())
@@ -178,15 +204,10 @@ def parse_braces(source: str, language: str) -> dict:
             found.setdefault(shut, entry)
     defs = sorted(found.values(), key=lambda f: f["at"])
 
-    def around(i: int, items: list[dict]) -> dict | None:
-        return max((x for x in items if x["at"] < i <= x["end"]), key=lambda x: x["at"], default=None)
-
     calls = []
     named = {f["name_at"] for f in defs}
-    for m in _CALL.finditer(code):
-        if m[1] in NOT_CALLED or m.start() in named:
-            continue
-        owner = around(m.start(), [f for f in defs if f["body"] <= m.start()])
+    made = [m for m in _CALL.finditer(code) if m[1] not in NOT_CALLED and m.start() not in named]
+    for m, owner in zip(made, _innermost((m.start() for m in made), defs, "body"), strict=True):
         calls.append({"source": owner["name"] if owner else "<module>", "target": m[1], "line": line(m.start())})
 
     imports = [{"target": m[1], "line": line(m.start(1))} for p in _IMPORTS[language] for m in p.finditer(plain)]
@@ -211,17 +232,23 @@ def parse_braces(source: str, language: str) -> dict:
     keys = ("name", "signature", "start_line", "end_line", "docstring", "return_type", "param_types")
     out = lambda f: {k: f[k] for k in keys}
     shown_classes, seen = [], {}
-    owner_of = {id(f): around(f["at"], classes) for f in defs}
+    starts, by_start = [f["at"] for f in defs], sorted(classes, key=lambda c: c["at"])
+    members: dict[int, list[dict]] = {}
+    free = []
+    for f, c, outer in zip(defs, _innermost(starts, by_start), _innermost(starts, defs), strict=True):
+        if c and not (outer and outer["at"] > c["at"]):
+            members.setdefault(id(c), []).append(out(f))
+        else:
+            free.append(out(f))
     for c in classes:
-        methods = [out(f) for f in defs if owner_of[id(f)] is c and not (around(f["at"], defs) and around(f["at"], defs)["at"] > c["at"])]
+        methods = members.get(id(c), [])
         if c["name"] in seen:
             seen[c["name"]]["methods"] += methods
             continue
         seen[c["name"]] = {"name": c["name"], "start_line": line(c["at"]), "end_line": line(c["end"]), "docstring": docs.get(line(c["at"]), ""), "methods": methods}
         shown_classes.append(seen[c["name"]])
-    inside = {id(f) for f in defs if owner_of[id(f)] and not (around(f["at"], defs) and around(f["at"], defs)["at"] > owner_of[id(f)]["at"])}
     return {
-        "functions": [out(f) for f in defs if id(f) not in inside],
+        "functions": free,
         "classes": shown_classes,
         "calls": calls,
         "imports": [{"target": t, "line": n} for n, t in imports],

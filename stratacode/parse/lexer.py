@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 
@@ -39,17 +41,21 @@ def blank(source: str, quotes: str = "\"'`", lifetimes: bool = False) -> tuple[s
     return "".join([*plain, source[at:]]), "".join([*code, source[at:]]), spans
 
 
-def closing(text: str, at: int, pairs: str = "()") -> int:
-    """The position of the bracket that closes the one at ``at``; -1 if none does."""
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == pairs[0]:
-            depth += 1
-        elif text[i] == pairs[1]:
-            depth -= 1
-            if not depth:
-                return i
-    return -1
+def pairs_of(text: str, signs: str) -> dict[int, int]:
+    """The position of the closing bracket of each opening one that is closed, in one pass."""
+    out, open_ = {}, []
+    for m in re.finditer(f"[{re.escape(signs)}]", text):
+        if m[0] == signs[0]:
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
+
+
+def line_numbers(text: str) -> Callable[[int], int]:
+    """A function from a position to its line, from 1."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return lambda at: bisect.bisect_left(ends, at) + 1
 
 
 def comment_text(raw: str) -> str:
