@@ -5,8 +5,15 @@ from __future__ import annotations
 import ast
 
 
-def _name(node: ast.AST) -> str | None:
-    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+def last_name(node: ast.AST) -> str | None:
+    """The last part of a dotted name; None for what is no name."""
+    return getattr(node, "attr", getattr(node, "id", None))
+
+
+def imported(tree: ast.Module) -> list[dict]:
+    """The dotted names that the module's own statements import, with their lines."""
+    found = [(node, alias) for node in tree.body if isinstance(node, ast.Import | ast.ImportFrom) for alias in node.names]
+    return [{"target": ".".join(filter(None, (getattr(node, "module", None), alias.name))), "line": node.lineno} for node, alias in found]
 
 
 def type_text(node: ast.AST | None) -> str | None:
@@ -59,12 +66,13 @@ class _Facts(ast.NodeVisitor):
     visit_AsyncFunctionDef = visit_FunctionDef
 
     def top(self, tree: ast.Module) -> None:
+        self.imports = imported(tree)
         for node in tree.body:
             if isinstance(node, ast.ClassDef):
                 methods: list[dict] = []
                 self.classes.append({"name": node.name, "start_line": node.lineno, "end_line": node.end_lineno, "docstring": ast.get_docstring(node) or "", "methods": methods})
                 for base in node.bases:
-                    if name := _name(base):
+                    if name := last_name(base):
                         self.extends.append({"class": node.name, "parent": name, "line": base.lineno, "rel_type": "EXTENDS"})
                     self.visit(base)
                 for x in (*node.decorator_list, *node.keywords):
@@ -75,15 +83,10 @@ class _Facts(ast.NodeVisitor):
                     else:
                         self.visit(child)
             else:
-                if isinstance(node, ast.Import):
-                    self.imports += [{"target": a.name, "line": node.lineno} for a in node.names]
-                elif isinstance(node, ast.ImportFrom):
-                    base = node.module or ""
-                    self.imports += [{"target": f"{base}.{a.name}" if base else a.name, "line": node.lineno} for a in node.names]
                 self.visit(node)
 
     def visit_Call(self, node: ast.Call) -> None:
-        if target := _name(node.func):
+        if target := last_name(node.func):
             self.calls.append({"source": self.open[-1] if self.open else "<module>", "target": target, "line": node.lineno})
         self.generic_visit(node)
 
