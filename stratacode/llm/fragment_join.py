@@ -3,11 +3,11 @@
 Records become sets of hashed n-grams. The global order of the n-grams is by how many records hold them, rarest
 first, and it is cut into fragments twice:
 
-1. To count the n-grams, every block of records sends each of its distinct n-grams once, with a count, to the
-   fragment of its hash range; the fragment answers only for n-grams that more than one record holds. A hot n-gram
+1. Of records with equal sets, by a 128-bit key and the size, one representative stays; the others leave before anything
+   is counted. To count the n-grams, every block of representatives sends each of its distinct n-grams once, with a count, to the
+   fragment of its hash range; the fragment answers with the counts alone, in the order of the n-grams. A hot n-gram
    thus costs one entry a block, wherever a third of all records may hold it.
-2. A record with fewer shared n-grams than the threshold demands leaves here. The others are collapsed to one
-   representative per set, and a pair of representatives is a candidate if the rare ends of both orders meet and the
+2. A representative with fewer shared n-grams than the threshold demands leaves here. A pair of the others is a candidate if the rare ends of both orders meet and the
    length and position bounds hold. Its overlap is then counted per fragment of the frequency order (cut at powers
    of two) and summed over the fragments. An n-gram that very many representatives keep as one of their rarest meets
    itself in pairs of blocks of ``HOLDERS``, each a key of its own.
@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut, parts
+from ..session import cut, drop_cut, parts
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 _U = np.uint64
@@ -171,19 +171,39 @@ def _to_fragments(n_fragments: int):
 
 
 def _count_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Answers each block with those of its n-grams that two records or more hold, and their number of records."""
+    """Answers each block with the number of records that hold each of its n-grams, in the order of the n-grams."""
     toks = [np.frombuffer(x, _U) for x in pdf.tokens]
     flat = np.concatenate(toks)
     uniq, at = np.unique(flat, return_inverse=True)
     df = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]]), minlength=len(uniq)).astype(np.int64)
     df, out, i = np.minimum(df, 2**31 - 1).astype(np.int32)[at], [], 0
-    for block, t in zip(pdf.block, toks, strict=True):
-        d = df[i : i + len(t)]
+    for fragment, block, t in zip(pdf.fragment, pdf.block, toks, strict=True):
+        out.append((fragment, block, df[i : i + len(t)].tobytes()))
         i += len(t)
-        k = d > 1
-        if k.any():
-            out.append((block, t[k].tobytes(), d[k].tobytes()))
-    return pd.DataFrame(out, columns=["block", "tokens", "dfs"])
+    return pd.DataFrame(out, columns=["fragment", "block", "dfs"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each block with their key and place in it."""
+    for batch in batches:
+        for b in batch.to_pylist():
+            code = np.frombuffer(b["fields"], np.int8).astype(np.int32)
+            ids, ka, kb = (np.frombuffer(b[c], np.int64) for c in ("recs", "key_a", "key_b"))
+            cols = [code, ids, np.frombuffer(b["sizes"], np.int32), ka, kb, np.full(len(ids), b["block"]), np.arange(len(ids), dtype=np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["field", "id", "n", "key_a", "key_b", "block", "place"])
+
+
+def _only(blocks: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+    """A block with the records at the places chosen."""
+    out, cols = [], [c.split()[0] for c in _BLOCK.split(", ")]
+    for b in blocks.itertuples(index=False) if len(chosen) else ():
+        ns = np.frombuffer(b.sizes, np.int32)
+        k = np.zeros(len(ns), bool)
+        k[np.concatenate([np.asarray(x) for x in chosen.places])] = True
+        toks = np.frombuffer(b.tokens, _U)[np.repeat(k, ns)]
+        kept = [np.frombuffer(getattr(b, c), t)[k].tobytes() for c, t in (("recs", np.int64), ("fields", np.int8), ("sizes", np.int32), ("key_a", _U), ("key_b", _U))]
+        out.append((b.block, len(toks), *kept, toks.tobytes()))
+    return pd.DataFrame(out, columns=cols)
 
 
 def _survivors(fields: dict[int, SetField]):
@@ -193,18 +213,15 @@ def _survivors(fields: dict[int, SetField]):
         p_of[c], q_of[c] = f.p, f.q
 
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        cols = ["field", "id", "n", "need", "key_a", "key_b", "tokens", "dfs"]
+        cols = ["field", "class_id", "n", "need", "tokens", "dfs"]
         if not len(blocks) or not len(answers):
             return pd.DataFrame([], columns=cols)
-        known = np.concatenate([np.frombuffer(x, _U) for x in answers.tokens])
-        known_df = np.concatenate([np.frombuffer(x, np.int32) for x in answers.dfs])
-        order = np.argsort(known)
-        known, known_df = known[order], known_df[order]
+        # fragments are ranges of hashes, so their answers one after the other are those of the sorted n-grams
+        known_df = np.concatenate([np.frombuffer(x, np.int32) for x in answers.sort_values("fragment").dfs])
         out = []
         for b in blocks.itertuples(index=False):
             toks, ns, code = np.frombuffer(b.tokens, _U), np.frombuffer(b.sizes, np.int32).astype(np.int64), np.frombuffer(b.fields, np.int8)
-            at = np.minimum(np.searchsorted(known, toks), len(known) - 1)
-            df = np.where(known[at] == toks, known_df[at], 1)
+            df = known_df[np.unique(toks, return_inverse=True)[1]]
             rec = np.repeat(np.arange(len(ns)), ns)
             need = -(-ns * p_of[code] // q_of[code])
             keep = np.bincount(rec[df > 1], minlength=len(ns)) >= need
@@ -214,19 +231,23 @@ def _survivors(fields: dict[int, SetField]):
             toks, df, rec = toks[order].view(np.int64), df[order], rec[order]
             live = np.flatnonzero(keep)
             cuts = np.searchsorted(rec, np.append(live, len(ns)))
-            ids, ka, kb = (np.frombuffer(x, np.int64) for x in (b.recs, b.key_a, b.key_b))
-            out += [(int(code[r]), ids[r], ns[r], need[r], ka[r], kb[r], toks[i:j], df[i:j]) for r, i, j in zip(live, cuts[:-1], cuts[1:], strict=True)]
+            ids = np.frombuffer(b.recs, np.int64)
+            out += [(int(code[r]), ids[r], ns[r], need[r], toks[i:j], df[i:j]) for r, i, j in zip(live, cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame(out, columns=cols)
 
     return run
 
 
+def _total(blocks: DataFrame) -> int:
+    return blocks.agg(F.coalesce(F.sum("tokens_n"), F.lit(0))).first()[0]
+
+
 def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int = _BLOCK_TOKENS, fragment_tokens: int = _FRAGMENT_TOKENS, holders: int = HOLDERS) -> tuple[DataFrame, DataFrame]:
     """The exact self-join: ``(pairs, classes)``.
 
     ``records``: (field int, scope bigint, id bigint, text string). Sets are compared within a field and scope.
-    ``classes``: (field, class_id, id), one row for each record that shares enough to have a partner at all; records
-    with equal sets have one class, named by its smallest id. ``pairs``: (field, a, b, overlap, n_a, n_b) between class
+    ``classes``: (field, class_id, id), one row for each record with an n-gram; records with equal sets have one class,
+    named by its smallest id. ``pairs``: (field, a, b, overlap, n_a, n_b) between class
     ids, a < b, for all pairs of different sets that reach the field's threshold.
 
     Null ids, null or blank texts and texts too short for one n-gram take no part; repeated rows are one record; texts
@@ -236,23 +257,30 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     clean = records.select(F.col("field").cast("int"), F.coalesce("scope", F.lit(-1)).cast("long").alias("scope"), F.col("id").cast("long"), "text")
     clean = clean.where(r"id is not null and text is not null and text rlike '\\S'")
     blocks = cut(clean.mapInArrow(_build_blocks(by_code, block_tokens), _BLOCK))
-    total = blocks.agg(F.coalesce(F.sum("tokens_n"), F.lit(0))).first()[0]
+    n = max(parts(records.sparkSession), -(-_total(blocks) // _TASK_TOKENS))
+
+    # equal sets first: all but one of them leave before an n-gram is counted
+    listed = cut(blocks.select("block", "recs", "fields", "sizes", "key_a", "key_b").mapInArrow(_listed, "field int, id long, n int, key_a long, key_b long, block long, place int"))
+    key = ["field", "key_a", "key_b", "n"]
+    least = cut(listed.groupBy(*key).agg(F.min(F.struct("id", "block", "place")).alias("x")).select(*key, F.col("x.id").alias("class_id"), "x.block", "x.place"))
+    classes = cut(listed.join(least.select(*key, "class_id"), key).select("field", "class_id", "id").distinct())
+    chosen = least.groupBy("block").agg(F.collect_list("place").alias("places"))  # no more than a block's records
+    kept = cut(blocks.repartition(n, "block").groupBy("block").cogroup(chosen.repartition(n, "block").groupBy("block")).applyInPandas(_only, _BLOCK))
+    for done in (blocks, listed, least):
+        drop_cut(done)
+
+    total = _total(kept)
     n_fragments = max(8, -(-total // fragment_tokens))
     n = max(parts(records.sparkSession), -(-total // _TASK_TOKENS))
     answers = (
-        blocks.select("block", "tokens")
+        kept.select("block", "tokens")
         .mapInArrow(_to_fragments(n_fragments), "fragment int, block long, tokens binary, counts binary")
         .repartition(n_fragments, "fragment")
         .groupBy("fragment")
-        .applyInPandas(_count_fragment, "block long, tokens binary, dfs binary")
+        .applyInPandas(_count_fragment, "fragment int, block long, dfs binary")
     )
-    alive = blocks.repartition(n, "block").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInPandas(_survivors(by_code), "field int, id long, n int, need int, key_a long, key_b long, tokens array<long>, dfs array<int>")
-    alive = cut(alive)
-
-    key = ["field", "key_a", "key_b", "n"]
-    least = alive.groupBy(*key).agg(F.min("id").alias("class_id"))
-    classes = cut(alive.select(*key, "id").join(least, key).select("field", "class_id", "id").distinct())
-    reps = cut(alive.join(least, key).where("id = class_id").select("field", "class_id", "n", "need", "tokens", "dfs").dropDuplicates(["field", "class_id"]))
+    reps = cut(kept.repartition(n, "block").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInPandas(_survivors(by_code), "field int, class_id long, n int, need int, tokens array<long>, dfs array<int>"))
+    drop_cut(kept)
 
     posting = reps.select("field", "class_id", "n", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("pos", "token"), (F.size("tokens")).alias("shared"))
     posting = posting.select("field", "class_id", "n", "token", (F.col("shared") - F.col("pos")).alias("rest"))
@@ -265,7 +293,7 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     enough = (p + q) * F.least("rest_a", "rest_b") >= p * (F.col("n_a") + F.col("n_b"))
     near = q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")
     met = a.join(b, ["field", "token", "cut_a", "cut_b"]).where((F.col("class_id_a") < F.col("class_id_b")) & near & enough)
-    candidates = met.select("field", F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "n_a", "n_b").distinct()
+    candidates = cut(met.select("field", F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "n_a", "n_b").distinct())
 
     # the n-grams of a record are sorted by frequency, so a fragment's are a slice
     level = F.transform("dfs", lambda d: F.floor(F.log2(d)).cast("int"))
@@ -277,7 +305,10 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     partial = candidates.join(seg_a, ["field", "a"]).join(seg_b, ["field", "b", "fragment"])
     partial = partial.select("field", "a", "b", "n_a", "n_b", F.size(F.array_intersect("segment_a", "segment_b")).alias("part"))
     pairs = partial.groupBy("field", "a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap")).where((p + q) * F.col("overlap") >= p * (F.col("n_a") + F.col("n_b")))
-    return cut(pairs.select("field", "a", "b", "overlap", "n_a", "n_b")), classes
+    pairs = cut(pairs.select("field", "a", "b", "overlap", "n_a", "n_b"))
+    drop_cut(candidates)
+    drop_cut(reps)
+    return pairs, classes
 
 
 def expand_pairs(pairs: DataFrame, classes: DataFrame, most: int = MEMBERS) -> DataFrame:

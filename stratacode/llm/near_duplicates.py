@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.components import connected_components
-from ..session import table
+from ..session import is_empty, table
 from .fragment_join import SetField, expand_pairs, similar_sets
 
 FIELDS = [
@@ -37,9 +37,15 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_pairs(source: DataFrame) -> DataFrame:
-    """(field_name, id_a, id_b), id_a < id_b: every pair at or above its field's threshold; see :func:`similar_sets`."""
+    """(field_name, id_a, id_b), id_a < id_b: every pair at or above its field's threshold; see :func:`similar_sets`.
+
+    A pair can come twice only if an id has texts of two classes; only then is the result, which may be far longer than
+    the input, shuffled to make it distinct.
+    """
     pairs, classes = similar_sets(source, FIELDS)
-    return _named(expand_pairs(pairs, classes)).select("field_name", "id_a", "id_b").distinct()
+    out = _named(expand_pairs(pairs, classes)).select("field_name", "id_a", "id_b")
+    twice = classes.groupBy("field", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return out if is_empty(twice) else out.distinct()
 
 
 def near_duplicate_groups(source: DataFrame) -> DataFrame:

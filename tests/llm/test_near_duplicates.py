@@ -124,3 +124,27 @@ def test_an_id_with_two_texts_is_no_pair_of_its_own(spark):
     rows = [(0, 0, 1, code), (0, 0, 1, code + " y"), (0, 0, 2, code)]
     got = {tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {("code_snippet", 1, 2)}
+
+
+def test_copies_leave_before_counting_and_what_was_written_goes(spark, monkeypatch):
+    """Only one of many copies is counted, and neither blocks nor n-grams stay written once the pairs are known."""
+    import os
+
+    from stratacode import session
+    from stratacode.llm import fragment_join
+
+    held, cut = [], fragment_join.cut
+
+    def seen(df):
+        out = cut(df)
+        held.append(("tokens" in out.columns and out.count(), out._cut_path.removeprefix("file://")))
+        return out
+
+    monkeypatch.setattr(fragment_join, "cut", seen)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(0, 0, i, " ".join(words)) for i in range(30)] + [(0, 0, 30, " ".join(words[:-1] + ["other"])), (0, 0, 31, " ".join(reversed(words)))]
+    pairs, classes = similar_sets(spark.createDataFrame(rows, SCHEMA).repartition(3), FIELDS, block_tokens=100)
+    got = {(FIELDS[r.field].name, r.id_a, r.id_b) for r in expand_pairs(pairs, classes).collect()}
+    assert got == brute(rows) and len(got) == 31 * 30 // 2
+    assert [n for n, p in held if n][-1] == 2  # the copies' one and its neighbour
+    assert not any(os.path.exists(p) for n, p in held if n) and session._CUTS
