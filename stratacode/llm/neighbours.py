@@ -2,9 +2,10 @@
 
 All vectors are scaled to length one and projected to ``DIM`` Gaussian (2-stable) directions. The projections are
 indexed by kd-trees: the top of the tree, fitted on a bounded sample, routes every vector to a partition, and each
-partition holds a tree of its own with leaves of ``LEAF`` vectors. A query walks a tree's leaves in the order of
-their projected distance, verifies the full vectors there, and stops when the chi-square test says that a vector
-closer than the k-th so far would have been seen by now with probability ``CONFIDENCE``. A first round searches the
+partition holds a tree of its own with leaves of ``LEAF`` vectors. The leaves nearest to a query in the projection give
+its first k-th distance; further leaves are verified in full up to the projected distance where the chi-square test says
+that a vector closer than that would have been seen by now with probability ``CONFIDENCE``. Queries of neighbouring
+leaves walk together: a leaf that one of them needs is verified for all, by one matrix product. A first round searches the
 query's own partition; the second visits the other partitions whose projected distance does not fail the same test
 against the k-th distance of the first.
 """
@@ -25,6 +26,7 @@ WIDTH = 64  # of the vectors of the tables; another is a parameter
 CONFIDENCE = 0.995
 PART_ROWS, SAMPLE_ROWS, QUERY_BLOCK, MOST_PARTS = 25_000, 20_000, 4_096, 4_096
 SEED = 20
+TOGETHER, ROUNDING = 256, 1e-5  # queries that walk together; what single precision may lose of a squared distance
 
 
 def chi_square_quantile(p: float, dim: int = DIM) -> float:
@@ -75,33 +77,34 @@ class Tree:
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, far: np.ndarray, k: int, reach: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(position of the query, ids, squared distances) of the nearest k by the test; ``far``: k-th squared distance known before."""
+        gap = np.empty((len(ids), len(self.low)), np.float32)
         for q in range(len(ids)):
-            gap = np.maximum(self.low - points[q], 0) + np.maximum(points[q] - self.high, 0)
-            gap = np.einsum("ij,ij->i", gap, gap)
-            best_d, best_i, limit = np.empty(0, np.float32), np.empty(0, np.int64), float(far[q])
-            order = np.argsort(gap)
-            step, at = 8, 0
-            while at < len(order):
-                take = order[at : at + step]
-                take = take[gap[take] <= reach * limit]
-                if not len(take):
-                    break  # the chi-square test: nothing nearer is to be expected further out
-                rows = np.concatenate([np.arange(self.starts[x], self.starts[x + 1]) for x in take])
-                d = 2 - 2 * (self.vectors[rows] @ vectors[q])
-                ok = self.ids[rows] != ids[q]
-                d, i = np.r_[best_d, d[ok]], np.r_[best_i, self.ids[rows[ok]]]
-                if len(d) > k:
-                    near = np.lexsort((i, d))[:k] if len(d) < 64 else np.argpartition(d, k - 1)[: k + 1]
-                    if len(d) >= 64:  # ties by id
-                        edge = np.sort(d[near])[k - 1]
-                        near = np.flatnonzero(d <= edge)
-                        near = near[np.lexsort((i[near], d[near]))[:k]]
-                    d, i = d[near], i[near]
-                    limit = min(limit, float(d.max()))
-                best_d, best_i = d, i
-                at += step
-                step = 16
-            yield q, best_i, best_d
+            g = np.maximum(self.low - points[q], 0) + np.maximum(points[q] - self.high, 0)
+            gap[q] = np.einsum("ij,ij->i", g, g)
+        close = np.argsort(gap.argmin(1), kind="stable")  # queries of one leaf walk together
+        for block in np.split(close, range(TOGETHER, len(close), TOGETHER)):
+            limit = far[block].astype(np.float64)
+            few = min(8, gap.shape[1])
+            for at, q in enumerate(block):
+                first = np.argpartition(gap[q], few - 1)[:few]
+                rows = np.concatenate([np.arange(self.starts[x], self.starts[x + 1]) for x in first])
+                rows = rows[self.ids[rows] != ids[q]]
+                if len(rows) >= k:
+                    limit[at] = min(limit[at], float(np.partition(2 - 2 * (self.vectors[rows] @ vectors[q]), k - 1)[k - 1]) + ROUNDING)
+            # the chi-square test: nothing nearer is to be expected in the other leaves
+            leaves = np.flatnonzero((gap[block] <= reach * limit[:, None]).any(0))
+            if not len(leaves):
+                continue
+            rows = np.concatenate([np.arange(self.starts[x], self.starts[x + 1]) for x in leaves])
+            every, names = self.vectors[rows], self.ids[rows]
+            near = 2 - 2 * (vectors[block] @ every.T)
+            for d, q in zip(near, block, strict=True):
+                d[names == ids[q]] = np.inf
+                edge = np.partition(d, k - 1)[k - 1] + ROUNDING if len(d) > k else np.inf
+                at = np.flatnonzero((d <= edge) & np.isfinite(d))
+                exact = 2 - 2 * np.einsum("ij,j->i", every[at].astype(np.float64), vectors[q].astype(np.float64))
+                at, exact = (x[np.lexsort((names[at], exact))[:k]] for x in (at, exact))  # ties by id
+                yield q, names[at], exact
 
 
 def _search(project: np.ndarray, k: int, reach: float):

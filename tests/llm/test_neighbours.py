@@ -55,3 +55,28 @@ def test_vectors_of_another_width(spark):
     got = [r.other for r in nearest(df, spark.createDataFrame([(3,)], "id long"), width=24).collect()]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert len(got) == 10 and len(set(got) & set(np.argsort(-(u @ u[3]))[1:11].tolist())) >= 9
+
+
+def test_queries_walk_together():
+    """The work grows with blocks of queries, not with steps a query: the distances of a block are one product, and exact."""
+    from stratacode.llm import neighbours
+
+    x = cluster(600, 3)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+    class Counted(np.ndarray):
+        made = 0
+
+        def __getitem__(self, at):
+            Counted.made += 1
+            return np.asarray(super().__getitem__(at))
+
+    project = neighbours.directions()
+    tree = neighbours.Tree(np.arange(600), u, project, leaf=4)
+    tree.vectors = tree.vectors.view(Counted)
+    got = {q: (i, d) for q, i, d in tree.search(np.arange(600), u, u @ project, np.full(600, 4.0), 10, 1e9)}
+    assert Counted.made <= 600 + 3  # one look at the nearest leaves a query, one product a block
+    for q, (i, d) in got.items():
+        s = 2 - 2 * (u.astype(np.float64) @ u[q].astype(np.float64))
+        s[q] = 9
+        assert list(i) == list(np.argsort(s, kind="stable")[:10]) and np.allclose(d, np.sort(s)[:10])
