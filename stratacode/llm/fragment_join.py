@@ -6,9 +6,12 @@ first, and it is cut into fragments twice:
 1. Of records with equal sets, by a 128-bit key and the size, one representative stays; the others leave before anything
    is counted. To count the n-grams, every block of representatives sends each of its distinct n-grams once, with a count, to the
    fragment of its hash range; the fragment answers with the counts alone, in the order of the n-grams. A hot n-gram
-   thus costs one entry a block, wherever a third of all records may hold it.
+   thus costs one entry a block, wherever a third of all records may hold it. N-grams are sent and counted by their
+   hash's first bits, eight more than would number them all: a count may then be too high, never too low, and orders
+   the n-grams in the same way for every record, which is all that the following needs. Overlaps are of whole hashes.
 2. A representative with fewer shared n-grams than the threshold demands leaves here. A pair of the others is a candidate if the rare ends of both orders meet and the
-   length and position bounds hold. Its overlap is then counted per fragment of the frequency order (cut at powers
+   length and position bounds hold and a bitmap of each set (128 bits, each odd or even by the n-grams that fall on it)
+   leaves room for the overlap demanded. Its overlap is then counted per fragment of the frequency order (cut at powers
    of two) and summed over the fragments. An n-gram that very many representatives keep as one of their rarest meets
    itself in pairs of blocks of ``HOLDERS``, each a key of its own.
 
@@ -37,6 +40,7 @@ _FRAGMENT_TOKENS = 1_500_000
 _TASK_TOKENS = 400_000
 MEMBERS = 512
 HOLDERS = 2_000
+_SPARE_BITS = 8  # of the n-grams that only one record holds, about one in 2 ** 8 or fewer are taken for shared
 
 
 @dataclass(frozen=True)
@@ -155,32 +159,52 @@ def _build_blocks(fields: dict[int, SetField], block_tokens: int):
     return run
 
 
-def _to_fragments(n_fragments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                toks, counts = np.unique(np.frombuffer(raw, _U), return_counts=True)
-                frag = ((toks >> _U(32)) * _U(n_fragments)) >> _U(32)
-                cuts = np.searchsorted(frag, np.arange(n_fragments + 1).astype(_U))
-                got = [(f, toks[i:j].tobytes(), np.minimum(counts[i:j], 2**31 - 1).astype(np.int32).tobytes()) for f, i, j in zip(range(n_fragments), cuts[:-1], cuts[1:], strict=True) if j > i]
-                if got:
-                    f, t, n = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array([block] * len(f), pa.int64()), pa.array(t, pa.binary()), pa.array(n, pa.binary())], names=["fragment", "block", "tokens", "counts"])
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 0 or more byte by byte, lowest bytes first, so that what is mostly zero compresses well; no zero bytes above the largest."""
+    wide = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(wide[:, : max(1, -(-int(x.max()).bit_length() // 8))].T).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return wide.view("<u8").ravel()
+
+
+def _chosen(b, places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, fields, sizes and n-grams of the records of a block at these places."""
+    ns = np.frombuffer(b.sizes, np.int32).astype(np.int64)
+    k = np.zeros(len(ns), bool)
+    for x in places:
+        k[np.asarray(x)] = True
+    return np.frombuffer(b.recs, np.int64)[k], np.frombuffer(b.fields, np.int8)[k], ns[k], np.frombuffer(b.tokens, _U)[np.repeat(k, ns)]
+
+
+def _to_fragments(n_fragments: int, bits: int):
+    """The distinct n-grams of a block's chosen records, by their first ``bits`` bits, as steps from one to the next."""
+
+    def run(blocks: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for b in blocks.itertuples(index=False) if len(chosen) else ():
+            codes, counts = np.unique(_chosen(b, chosen.places)[3] >> _U(64 - bits), return_counts=True)
+            frag = ((codes >> _U(max(0, bits - 32))) * _U(n_fragments)) >> _U(min(bits, 32))
+            cuts = np.searchsorted(frag, np.arange(n_fragments + 1).astype(_U))
+            out += [(f, b.block, j - i, _packed(np.diff(codes[i:j], prepend=_U(0))), _packed(counts[i:j])) for f, i, j in zip(range(n_fragments), cuts[:-1], cuts[1:], strict=True) if j > i]
+        return pd.DataFrame(out, columns=["fragment", "block", "size", "steps", "counts"])
 
     return run
 
 
 def _count_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
     """Answers each block with the number of records that hold each of its n-grams, in the order of the n-grams."""
-    toks = [np.frombuffer(x, _U) for x in pdf.tokens]
-    flat = np.concatenate(toks)
+    flat = np.concatenate([np.cumsum(_unpacked(x, n), dtype=_U) for x, n in zip(pdf.steps, pdf["size"], strict=True)])
     uniq, at = np.unique(flat, return_inverse=True)
-    df = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]]), minlength=len(uniq)).astype(np.int64)
-    df, out, i = np.minimum(df, 2**31 - 1).astype(np.int32)[at], [], 0
-    for fragment, block, t in zip(pdf.fragment, pdf.block, toks, strict=True):
-        out.append((fragment, block, df[i : i + len(t)].tobytes()))
-        i += len(t)
-    return pd.DataFrame(out, columns=["fragment", "block", "dfs"])
+    df = np.bincount(at, weights=np.concatenate([_unpacked(x, n) for x, n in zip(pdf["counts"], pdf["size"], strict=True)]), minlength=len(uniq)).astype(np.int64)
+    df, out, i = np.minimum(df, 2**31 - 1)[at], [], 0
+    for fragment, block, n in zip(pdf.fragment, pdf.block, pdf["size"], strict=True):
+        out.append((block, fragment, n, _packed(df[i : i + n]), None))
+        i += n
+    return pd.DataFrame(out, columns=["block", "fragment", "size", "dfs", "places"])
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,46 +217,34 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["field", "id", "n", "key_a", "key_b", "block", "place"])
 
 
-def _only(blocks: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
-    """A block with the records at the places chosen."""
-    out, cols = [], [c.split()[0] for c in _BLOCK.split(", ")]
-    for b in blocks.itertuples(index=False) if len(chosen) else ():
-        ns = np.frombuffer(b.sizes, np.int32)
-        k = np.zeros(len(ns), bool)
-        k[np.concatenate([np.asarray(x) for x in chosen.places])] = True
-        toks = np.frombuffer(b.tokens, _U)[np.repeat(k, ns)]
-        kept = [np.frombuffer(getattr(b, c), t)[k].tobytes() for c, t in (("recs", np.int64), ("fields", np.int8), ("sizes", np.int32), ("key_a", _U), ("key_b", _U))]
-        out.append((b.block, len(toks), *kept, toks.tobytes()))
-    return pd.DataFrame(out, columns=cols)
-
-
-def _survivors(fields: dict[int, SetField]):
+def _survivors(fields: dict[int, SetField], bits: int):
     p_of = np.zeros(128, np.int64)
     q_of = np.ones(128, np.int64)
     for c, f in fields.items():
         p_of[c], q_of[c] = f.p, f.q
 
-    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        cols = ["field", "class_id", "n", "need", "tokens", "dfs"]
-        if not len(blocks) or not len(answers):
-            return pd.DataFrame([], columns=cols)
-        # fragments are ranges of hashes, so their answers one after the other are those of the sorted n-grams
-        known_df = np.concatenate([np.frombuffer(x, np.int32) for x in answers.sort_values("fragment").dfs])
-        out = []
-        for b in blocks.itertuples(index=False):
-            toks, ns, code = np.frombuffer(b.tokens, _U), np.frombuffer(b.sizes, np.int32).astype(np.int64), np.frombuffer(b.fields, np.int8)
-            df = known_df[np.unique(toks, return_inverse=True)[1]]
+    def run(blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """``told``: the answers to a block, and a row with the places of its chosen records."""
+        out, cols = [], ["field", "class_id", "n", "need", "tokens", "dfs", "odd_a", "odd_b"]
+        answers = told[told.places.isna()].sort_values("fragment")
+        for b in blocks.itertuples(index=False) if len(answers) else ():
+            ids, code, ns, toks = _chosen(b, told.places.dropna())
+            # fragments are ranges of hashes, so their answers one after the other are those of the sorted n-grams
+            known_df = np.concatenate([_unpacked(x, n) for x, n in zip(answers.dfs, answers["size"], strict=True)]).astype(np.int32)
+            df = known_df[np.unique(toks >> _U(64 - bits), return_inverse=True)[1]]
             rec = np.repeat(np.arange(len(ns)), ns)
             need = -(-ns * p_of[code] // q_of[code])
             keep = np.bincount(rec[df > 1], minlength=len(ns)) >= need
             m = (df > 1) & keep[rec]
             toks, df, rec = toks[m], df[m], rec[m]
             order = np.lexsort((toks, df, rec))
-            toks, df, rec = toks[order].view(np.int64), df[order], rec[order]
+            toks, df, rec = toks[order], df[order], rec[order]
             live = np.flatnonzero(keep)
             cuts = np.searchsorted(rec, np.append(live, len(ns)))
-            ids = np.frombuffer(b.recs, np.int64)
-            out += [(int(code[r]), ids[r], ns[r], need[r], toks[i:j], df[i:j]) for r, i, j in zip(live, cuts[:-1], cuts[1:], strict=True)]
+            bit, half = _U(1) << (toks & _U(63)), (toks >> _U(6)) & _U(1)
+            odd = [np.bitwise_xor.reduceat(np.where(half == h, bit, _U(0)), cuts[:-1]).view(np.int64) if len(live) else () for h in (0, 1)]
+            toks = toks.view(np.int64)
+            out += [(int(code[r]), ids[r], ns[r], need[r], toks[i:j], df[i:j], x, y) for r, i, j, x, y in zip(live, cuts[:-1], cuts[1:], *odd, strict=True)]
         return pd.DataFrame(out, columns=cols)
 
     return run
@@ -264,35 +276,41 @@ def similar_sets(records: DataFrame, fields: list[SetField], block_tokens: int =
     key = ["field", "key_a", "key_b", "n"]
     least = cut(listed.groupBy(*key).agg(F.min(F.struct("id", "block", "place")).alias("x")).select(*key, F.col("x.id").alias("class_id"), "x.block", "x.place"))
     classes = cut(listed.join(least.select(*key, "class_id"), key).select("field", "class_id", "id").distinct())
+    drop_cut(listed)
     chosen = least.groupBy("block").agg(F.collect_list("place").alias("places"))  # no more than a block's records
-    kept = cut(blocks.repartition(n, "block").groupBy("block").cogroup(chosen.repartition(n, "block").groupBy("block")).applyInPandas(_only, _BLOCK))
-    for done in (blocks, listed, least):
-        drop_cut(done)
 
-    total = _total(kept)
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_fragments = max(8, -(-total // fragment_tokens))
-    n = max(parts(records.sparkSession), -(-total // _TASK_TOKENS))
+    bits = max(1, min(64, int(total).bit_length() + _SPARE_BITS))
+    # one shuffle of the blocks serves both the counting and what comes of it
+    near_by = blocks.select("block", "recs", "fields", "sizes", "tokens").repartition(n, "block").groupBy("block")
     answers = (
-        kept.select("block", "tokens")
-        .mapInArrow(_to_fragments(n_fragments), "fragment int, block long, tokens binary, counts binary")
+        near_by.cogroup(chosen.repartition(n, "block").groupBy("block"))
+        .applyInPandas(_to_fragments(n_fragments, bits), "fragment int, block long, size int, steps binary, counts binary")
         .repartition(n_fragments, "fragment")
         .groupBy("fragment")
-        .applyInPandas(_count_fragment, "fragment int, block long, dfs binary")
+        .applyInPandas(_count_fragment, "block long, fragment int, size int, dfs binary, places array<int>")
     )
-    reps = cut(kept.repartition(n, "block").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInPandas(_survivors(by_code), "field int, class_id long, n int, need int, tokens array<long>, dfs array<int>"))
-    drop_cut(kept)
+    told = answers.union(chosen.select("block", F.lit(-1), F.lit(0), F.lit(None).cast("binary"), "places"))
+    reps = cut(near_by.cogroup(told.repartition(n, "block").groupBy("block")).applyInPandas(_survivors(by_code, bits), "field int, class_id long, n int, need int, tokens array<long>, dfs array<int>, odd_a long, odd_b long"))
+    drop_cut(blocks)
+    drop_cut(least)
 
-    posting = reps.select("field", "class_id", "n", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("pos", "token"), (F.size("tokens")).alias("shared"))
-    posting = posting.select("field", "class_id", "n", "token", (F.col("shared") - F.col("pos")).alias("rest"))
+    posting = reps.select("field", "class_id", "n", "odd_a", "odd_b", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("pos", "token"), (F.size("tokens")).alias("shared"))
+    posting = posting.withColumn("rest", F.col("shared") - F.col("pos")).drop("pos")
     hot = posting.groupBy("field", "token").agg(F.ceil(F.count(F.lit(1)) / holders).cast("int").alias("cuts")).where("cuts > 1")
     posting = posting.join(hot, ["field", "token"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     own, other = F.pmod(F.xxhash64("class_id"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     p, q = (F.element_at(F.create_map(*[F.lit(x) for f in fields for x in (f.code, getattr(f, w))]), F.col("field")) for w in ("p", "q"))
-    a = posting.select("field", "token", own.alias("cut_a"), other.alias("cut_b"), *[F.col(c).alias(f"{c}_a") for c in ("class_id", "n", "rest")])
-    b = posting.select("field", "token", own.alias("cut_b"), other.alias("cut_a"), *[F.col(c).alias(f"{c}_b") for c in ("class_id", "n", "rest")])
+    carried = ("class_id", "n", "rest", "shared", "odd_a", "odd_b")
+    a = posting.select("field", "token", own.alias("cut_a"), other.alias("cut_b"), *[F.col(c).alias(f"{c}_a") for c in carried])
+    b = posting.select("field", "token", own.alias("cut_b"), other.alias("cut_a"), *[F.col(c).alias(f"{c}_b") for c in carried])
     enough = (p + q) * F.least("rest_a", "rest_b") >= p * (F.col("n_a") + F.col("n_b"))
     near = q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")
-    met = a.join(b, ["field", "token", "cut_a", "cut_b"]).where((F.col("class_id_a") < F.col("class_id_b")) & near & enough)
+    # each bit that differs stands for at least one n-gram of only one of the two; of the other entries at most every second is a common one
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("odd_a", "odd_b")), F.lit(0))
+    close = (p + q) * (F.col("shared_a") + F.col("shared_b") - differ) >= 2 * p * (F.col("n_a") + F.col("n_b"))
+    met = a.join(b, ["field", "token", "cut_a", "cut_b"]).where((F.col("class_id_a") < F.col("class_id_b")) & near & enough & close)
     candidates = cut(met.select("field", F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "n_a", "n_b").distinct())
 
     # the n-grams of a record are sorted by frequency, so a fragment's are a slice

@@ -148,3 +148,47 @@ def test_copies_leave_before_counting_and_what_was_written_goes(spark, monkeypat
     assert got == brute(rows) and len(got) == 31 * 30 // 2
     assert [n for n, p in held if n][-1] == 2  # the copies' one and its neighbour
     assert not any(os.path.exists(p) for n, p in held if n) and session._CUTS
+
+
+def test_few_trigrams_give_no_flood_of_candidates(spark, monkeypatch):
+    """URLs made of few trigrams meet in many prefixes; nearly all of these pairs leave before they are shuffled, and the blocks are written once."""
+    from stratacode.llm import fragment_join
+
+    held, cut = [], fragment_join.cut
+
+    def seen(df):
+        out = cut(df)
+        held.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(fragment_join, "cut", seen)
+    rnd = random.Random(5)
+    part = lambda: "".join(rnd.choice("abcdef") for _ in range(rnd.randrange(9, 14)))
+    urls = [f"https://h.example/{part()}/{part()}" for _ in range(600)]
+    rows = [(2, 0, i, u) for i, u in enumerate([*urls, *(u + "x" for u in urls[:40])])]
+    pairs, classes = similar_sets(spark.createDataFrame(rows, SCHEMA), FIELDS)
+    found = {(FIELDS[r.field].name, r.id_a, r.id_b) for r in expand_pairs(pairs, classes).collect()}
+    assert found == brute(rows) and len(found) >= 40
+    assert next(n for c, n in held if "n_a" in c and "overlap" not in c) < 2 * len(found)
+    assert sum("tokens" in c for c, _ in held) == 2  # the blocks and what is left of them
+
+
+@pytest.mark.parametrize("spare", [-9, -4])
+def test_ngrams_that_look_equal_when_counted_change_no_result(spark, monkeypatch, spare):
+    from stratacode.llm import fragment_join
+
+    monkeypatch.setattr(fragment_join, "_SPARE_BITS", spare)
+    rows = sample(4)
+    pairs, classes = similar_sets(spark.createDataFrame(rows, SCHEMA).repartition(3), FIELDS, 20_000, 10_000)
+    found = [(FIELDS[r.field].name, r.id_a, r.id_b) for r in expand_pairs(pairs, classes).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(rows)
+
+
+@pytest.mark.parametrize("numbers", [[0], [0, 1, 255], [256, 0, 2**31], [2**64 - 1, 3]])
+def test_packed_numbers_come_back(numbers):
+    import numpy as np
+
+    from stratacode.llm.fragment_join import _packed, _unpacked
+
+    x = np.array(numbers, np.uint64)
+    assert _unpacked(_packed(x), len(x)).tolist() == numbers
